@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 TABLE_CHARS = 20_000_000
 BATCH_TEXTS = 256
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+_CHUNK = re.compile(" +[^ ]*")
 _LOADED: dict[str, "Codec"] = {}
 
 
@@ -53,13 +53,13 @@ class Codec:
 
     def _fill(self, chunks: list[str]) -> None:
         """Segments and decodes chunks that the table lacks, in one call of the library."""
-        # the dummy prefix is the chunk's first marker; before nothing the library adds none
-        for chunk, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            ids = ids if len(chunk) > 1 else [self.mark]
+        for chunk, ids in zip(chunks, self.sp.encode(chunks, num_threads=1), strict=True):
+            # the dummy prefix is the chunk's first marker; before nothing the library adds none
+            ids = ids if chunk else [self.mark]
             self.table[chunk] = array("I", ids).tobytes()
-            if "".join([self.pieces[i] for i in ids]) != chunk:
+            if "".join([self.pieces[i] for i in ids])[1:].replace(MARK, " ") != chunk:
                 decoded = self.sp.decode(ids)
-                if decoded != chunk[1:].replace(MARK, " "):
+                if decoded != chunk:
                     self.odd[chunk] = decoded
             self.held += len(chunk) + 12
 
@@ -68,7 +68,9 @@ class Codec:
         if not self.chunked:
             every = [self.sp.encode(t or "", add_bos=True, add_eos=True) for t in texts]
             return [(array("I", ids).tobytes(), self.sp.decode(ids)) for ids in every]
-        split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        texts = [(t or "").replace(MARK, " ") for t in texts]
+        # a chunk stands without its first marker and with spaces for the others
+        split = [[c[1:] for c in _CHUNK.findall(" " + t)] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
         if self.held > TABLE_CHARS:
             self.table.clear()
             self.odd.clear()
@@ -79,13 +81,13 @@ class Codec:
             try:
                 ids = b"".join(map(get, chunks))
             except KeyError:
-                self._fill(list(set(chunks).difference(self.table)))
+                self._fill(list(set().union(*split).difference(self.table)))
                 ids = b"".join(map(get, chunks))
-            # a decoded chunk is its own text with spaces for markers unless the table says otherwise
+            # a decoded chunk is its own text unless the table says otherwise
             if self.odd and not self.odd.keys().isdisjoint(chunks):
-                decoded = " ".join([self.odd[c] if c in self.odd else c[1:].replace(MARK, " ") for c in chunks])
+                decoded = " ".join([self.odd.get(c, c) for c in chunks])
             else:
-                decoded = (text or "").replace(MARK, " ")
+                decoded = text
             out.append((self.begin + ids + self.end, decoded))
         return out
 
