@@ -169,7 +169,7 @@ FROM k, (SELECT unnest(range(5)) AS form)  -- canonical: {VIDEO_CANONICAL}
     "resolve_names": f"WITH {GRAPH} SELECT doc_no, CAST(item AS INTEGER) AS item, status, matched_by, n, target FROM rn",
     "resolve_ids": f"WITH {GRAPH} SELECT ed.doc_no, CAST(item_no AS INTEGER) AS item_no, cl.doc_no AS target FROM ed LEFT JOIN cl ON cl.key = trim(target_id) AND cl.n = 1",
     "duplicate_ids": f"WITH {GRAPH} SELECT key AS id_key, key AS written, n FROM cl WHERE n > 1",
-    "backlinks": f"WITH {GRAPH} SELECT cl.doc_no, string_agg(DISTINCT CAST(ed.doc_no AS VARCHAR), ',' ORDER BY ed.doc_no) AS derived FROM ed JOIN cl ON cl.key = trim(target_id) AND cl.n = 1 GROUP BY cl.doc_no",
+    "backlinks": f"WITH {GRAPH} SELECT cl.doc_no, array_to_string(list_sort(list(DISTINCT ed.doc_no)), ',') AS derived FROM ed JOIN cl ON cl.key = trim(target_id) AND cl.n = 1 GROUP BY cl.doc_no",
     "findings": f"WITH {FINDINGS} SELECT path, field, code, severity, reason, phase, rule, CAST(item AS INTEGER) AS item FROM fi",
     "findings_by_severity": f"WITH {FINDINGS} SELECT count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM fi",
     "edge_survival": f"""WITH {GRAPH}, n2 AS (
