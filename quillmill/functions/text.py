@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def fold(c: Column) -> Column:
 
 def fold_exact():
     """An Arrow UDF that folds every character, for text that decomposes into several."""
-    import pandas as pd
-
     gone = {ord(c): None for c in diacritics()}
 
     @F.pandas_udf("string")
@@ -77,8 +76,6 @@ def tokens(c: Column, folded: bool = False) -> Column:
 
 
 def _nfc():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,8 +170,6 @@ def normalize_one(raw: str) -> tuple:
 
 def normalize_url_exact():
     """An Arrow UDF: struct(ok, url, rule, key, code) of any input."""
-    import pandas as pd
-
     @F.pandas_udf("ok boolean, url string, rule string, key string, code string")
     def exact(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([normalize_one(x) if x is not None else (None,) * 5 for x in s], columns=["ok", "url", "rule", "key", "code"])

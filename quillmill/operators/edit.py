@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -296,8 +297,6 @@ def edit_one(text: str, value: str, adding: bool) -> tuple[str, bool, list[tuple
 
 
 def _edited(files: DataFrame, adding: bool) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf(RESULT)
     def run(text: pd.Series, value: pd.Series) -> pd.DataFrame:
         rows = [edit_one(t or "", v or "", adding) for t, v in zip(text, value, strict=True)]
