@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, whatever the length of a row's text or sets."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs one stage."""
 

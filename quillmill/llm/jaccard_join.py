@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices
+from .common import Scratch, bounded_batches, connected_components, slices
 from .shingles import U, mix, shingle_sets
 
 WIDTH = 5
@@ -37,7 +37,7 @@ PARITY_BITS = 512
 FLUSH = 400_000
 BROADCAST_ROWS = 1_000_000
 MULTI = np.iinfo(np.int64).min
-ROUNDS = 8
+ROUNDS = 4
 
 
 def _batches(rows, ids="doc_id"):
@@ -66,8 +66,8 @@ def _from_texts(rows):
 
 def _from_sets(rows):
     for batch in rows:
-        for d, s in zip(batch.column("rep").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-            s = np.frombuffer(s, dtype=U)
+        for d, s in zip(batch.column("rep").to_pylist(), batch.column("tokens"), strict=True):
+            s = np.frombuffer(s.as_buffer(), dtype=U)
             yield d, len(s), s
 
 
@@ -169,8 +169,8 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in rows:
-            for x in batch.column("tokens").to_pylist():
-                total[(np.frombuffer(x, dtype=U) >> U(64 - SKETCH_BITS)).astype(np.int64)] += 1
+            for x in batch.column("tokens"):
+                total[(np.frombuffer(x.as_buffer(), dtype=U) >> U(64 - SKETCH_BITS)).astype(np.int64)] += 1
         part = total.reshape(-1, chunk)
         used = np.flatnonzero(part.any(axis=1))
         for k in used:
@@ -197,8 +197,8 @@ def _prefixes(shared):
         sketch = shared.value
         for batch in rows:
             out = {"rep": batch.column("rep"), "n": batch.column("n"), "shared": batch.column("shared"), "bits": [], "p1": [], "p2": [], "p3": []}
-            for x in batch.column("tokens").to_pylist():
-                s = np.frombuffer(x, dtype=U)
+            for x in batch.column("tokens"):
+                s = np.frombuffer(x.as_buffer(), dtype=U)
                 p = len(s) // 5 + 1
                 parity = np.bincount((mix(s, 4) % U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
                 out["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
@@ -231,8 +231,8 @@ def _verify(rows):
 
     for batch in rows:
         keep = []
-        for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+        for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 80 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
@@ -253,6 +253,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) per document; see the module's text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    bounded_batches(spark)
     stats = scratch.cut(sizes_and_survivors(docs))
     open_ids = stats.where("open").select("doc_id")
     if open_ids.count() <= BROADCAST_ROWS:
@@ -290,10 +291,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         # pivots go on while they settle a good part of what is open
         last, before = cost.x <= 2 * cost.m or k == ROUNDS or (before is not None and cost.x > 0.8 * before), cost.x
-        if last:  # every pair of different components that is left
-            other = now.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("bits").alias("bits2"), F.col("c").alias("c2"))
-            few = now.join(largest.select("token", "c_top"), "token").where("c <> c_top")
-            made = few.join(other, "token").where(fits)
+        if last:  # every pair of different components that is left, at the first prefix shingle they share
+            still = now.join(largest.select("token", "c_top"), "token")
+            still = scratch.cut(still.join(still.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("at")), "rep"))
+            other = still.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("bits").alias("bits2"), F.col("c").alias("c2"), F.col("at").alias("at2"), F.col("c_top").alias("top2"))
+            # a pair is made from the side outside the largest component, or from the smaller id
+            once = "(c2 = top2 or rep < rep2) and array_intersect(at, at2)[0] = token"
+            made = still.where("c <> c_top").join(other, "token").where(f"{fits} and {once}")
         else:
             pivot = heads.select("token", F.col("pivot.rep").alias("rep2"), F.col("pivot.n").alias("n2"), F.col("pivot.shared").alias("shared2"), F.col("pivot.bits").alias("bits2"), F.col("pivot.c").alias("c2"))
             made = now.join(pivot, "token").where(fits)
