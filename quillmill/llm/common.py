@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local temporary one only where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        path = _OWN[own] = _OWN.get(own) or "file://" + tempfile.mkdtemp(prefix="quillmill-")
     return path.rstrip("/")
 
 
@@ -51,9 +52,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
+    With ``steps``, at most so many step pairs are made: equal components are then connected, but
+    connected nodes may still differ.
+
     Alternates large-star and small-star steps: each is one aggregation with map-side combine and
     one equi join, and the number of edges never grows. Ends when a step pair changes nothing.
     """
@@ -72,7 +76,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(large)
         e = small
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        steps = steps and steps - 1
+        if now == state or steps == 0:
             break
         state = now
     return scratch.cut(e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
