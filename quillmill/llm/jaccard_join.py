@@ -24,6 +24,8 @@ doc_id is null is returned with a null component_id. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,27 +168,31 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
     def count(rows):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in rows:
             for x in batch.column("tokens"):
                 total[(np.frombuffer(x.as_buffer(), dtype=U) >> U(64 - SKETCH_BITS)).astype(np.int64)] += 1
         part = total.reshape(-1, chunk)
-        used = np.flatnonzero(part.any(axis=1))
-        for k in used:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([int(k)]), "counts": pa.array([part[k].tobytes()], pa.binary())})
+        salt = TaskContext.get().partitionId() % 64
+        for k in np.flatnonzero(part.any(axis=1)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([int(k)]), "salt": pa.array([salt]), "counts": pa.array([zlib.compress(part[k].tobytes(), 1)], pa.binary())})
 
     def add(group):
         import pyarrow as pa
 
         total = np.zeros(chunk, dtype=np.uint32)
-        for x in group.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint32)
-        return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        for x in group.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), dtype=np.uint32)
+        return pa.table({"part": group.column("part").slice(0, 1), "salt": group.column("salt").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    # many tasks' counts are added in two rounds, so that no task holds them all
+    schema = "part long, salt long, counts binary"
+    counted = sets.select("tokens").mapInArrow(count, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros((1 << SKETCH_BITS) // chunk * chunk, dtype=np.uint32).reshape(-1, chunk)
-    for r in sets.select("tokens").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect():
-        out[r.part] = np.frombuffer(r.counts, dtype=np.uint32)
+    for r in counted.collect():
+        out[r.part] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
     return out.reshape(-1)
 
 
@@ -303,9 +309,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             made = now.join(pivot, "token").where(fits)
         found = _links(scratch.cut(made.select(*pairs).distinct()), sets, prefixes, scratch)
         links = found if links is None else scratch.cut(links.unionByName(found).distinct())
-        component = connected_components(links, scratch)
         if last:
             break
+        # what one step pair joins is joined; the whole components are found once, at the end
+        component = connected_components(links, scratch, 1)
     ids = member.groupBy("rep", "doc_id").agg(F.count("*").alias("copies"))
     # a document that stands in several classes (its id was repeated with other texts) joins them
     joins = ids.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
