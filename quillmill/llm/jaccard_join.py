@@ -17,6 +17,12 @@ round compares the members with one pivot of another component, and what is link
 compared again. Once the pairs still open are in proportion to the postings, all of them are
 compared, so no link between components is lost.
 
+The links within a component are counted on request (``jaccard_links``): a link joins its ends, so
+all links lie within components, and every pair of a component's classes whose sizes allow a link is
+compared. A small component is compared at one place; a large one is cut into bands of size and
+blocks, and each pair of blocks of the same or neighbouring bands is compared at one place, by
+products of incidence matrices, so pairs never become rows.
+
 Nulls and edges: a null or wordless text has no shingles, links with nothing and is its own
 component. Rows that repeat a doc_id are one document (the largest set's size is told). A row whose
 doc_id is null is returned with a null component_id. Extra columns are ignored.
@@ -40,6 +46,10 @@ FLUSH = 400_000
 BROADCAST_ROWS = 1_000_000
 MULTI = np.iinfo(np.int64).min
 ROUNDS = 4
+CELL_SETS = 1_024  # sets of a block, and their shingles
+CELL_SHINGLES = 400_000
+CELL_COLUMNS = 4_096
+BAND = 1.26  # over 1 / 0.8: sets that link lie in the same band of size or in neighbouring ones
 
 
 def _batches(rows, ids="doc_id"):
@@ -255,10 +265,20 @@ def _links(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, scratch: Scra
     return scratch.cut(_with_both(near, sets, ["tokens"]).mapInArrow(_verify, "a long, b long"))
 
 
+def _nameless(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_full_sets, "doc_id long, n long, s1 long, s2 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies) per document; see the module's text."""
+    """(doc_id, n_shingles, component_id) per document; see the module's text."""
+    out, _, _, _ = _joined(docs, Scratch(docs.sparkSession, "jaccard"))
+    return out.unionByName(_nameless(docs))
+
+
+def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents with their components; (rep, doc_id) of the classes' documents; (rep, n, tokens) of
+    the classes that may link with others; (node, component) of whatever links."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
     bounded_batches(spark)
     stats = scratch.cut(sizes_and_survivors(docs))
     open_ids = stats.where("open").select("doc_id")
@@ -320,5 +340,93 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         joins = joins.unionByName(links)
     whole = connected_components(joins, scratch)
     out = stats.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_full_sets, "doc_id long, n long, s1 long, s2 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless)
+    return out, ids, sets, whole
+
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``."""
+    sizes = [len(s) for s in x] + [len(s) for s in y]
+    _, column, held = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # a shingle of one set alone is in no intersection
+    several = held > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for low in range(0, int(several.sum()), CELL_COLUMNS):
+        i, j = np.searchsorted(column, [low, low + CELL_COLUMNS])
+        part = np.zeros((len(sizes), min(CELL_COLUMNS, int(several.sum()) - low)), dtype=np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        out += (part[: len(x)] @ part[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    both = _intersections(x, y)
+    return 100 * both >= 80 * (np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both)
+
+
+def _cell_links(group):
+    import pyarrow as pa
+
+    rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+    home, side = group.column("component").to_numpy(), group.column("side").to_numpy()
+    tokens = [np.frombuffer(s.as_buffer(), dtype=U) for s in group.column("tokens")]
+    total = np.zeros(len(rep), dtype=np.int64)
+    order = np.argsort(home, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        x, y = at[side[at] != 1], at[side[at] == 1]
+        if not len(x) or not len(y) and (side[x] == 0).any():
+            continue  # nothing fell into the other block
+        if len(y):
+            found = _linked([tokens[i] for i in x], [tokens[i] for i in y])
+            total[x] += found @ copies[y]
+            total[y] += found.T @ copies[x]
+        else:
+            found = _linked([tokens[i] for i in x], [tokens[i] for i in x])
+            np.fill_diagonal(found, False)
+            total[x] += found @ copies[x]
+    return pa.table({"rep": rep, "links": total})
+
+
+def _links_between_classes(sets: DataFrame, whole: DataFrame, copies: DataFrame) -> DataFrame:
+    """(rep, links): with how many documents of other classes each class links."""
+    node = whole.select(F.col("node").alias("rep"), "component")
+    small = sets.select("rep", "n").join(node, "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    bands = small.groupBy("component", "band").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.max("n").alias("longest"))
+    # blocks of CELL_SETS sets or CELL_SHINGLES shingles, one set at least
+    blocks = F.ceil(F.col("k") / F.greatest(F.lit(1), F.least(F.lit(CELL_SETS), F.floor(F.lit(CELL_SHINGLES) / F.col("longest"))))).cast("int")
+    shape = bands.groupBy("component").agg(F.sum("k").alias("k"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("blocks")).where("k > 1")
+    whole_at_once = f"k <= {CELL_SETS} and shingles <= {CELL_SHINGLES}"
+    shape = shape.withColumn("once", F.expr(whole_at_once))
+    tasks = 1 + (shape.where("once").agg(F.sum("shingles")).first()[0] or 0) // CELL_SHINGLES
+    rows = small.join(shape.select("component", "once", "blocks"), "component").join(copies, "rep")
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks[band]) as int)"))
+    cell = "named_struct('key', {}, 'b1', {}, 'i1', {}, 'b2', {}, 'i2', {}, 'side', {})"
+    alone = cell.format(f"pmod(xxhash64(component), {tasks})", "-1", "-1", "-1", "-1", "2")
+    within = cell.format("component", "band", "least(own, j)", "band", "greatest(own, j)", "case when j = own then 2 when own < j then 0 else 1 end")
+    above, below = cell.format("component", "band", "own", "band + 1", "j", "0"), cell.format("component", "band - 1", "j", "band", "own", "1")
+    each = lambda band, one: f"case when blocks[{band}] is null then array() else transform(sequence(0, blocks[{band}] - 1), j -> {one}) end"
+    cells = f"case when once then array({alone}) else concat({each('band', within)}, {each('band + 1', above)}, {each('band - 1', below)}) end"
+    rows = rows.select("rep", "component", "copies", F.expr(f"explode({cells})").alias("cell")).select("rep", "component", "copies", "cell.*")
+    placed = rows.join(sets.select("rep", "tokens"), "rep")
+    return placed.groupBy("key", "b1", "i1", "b2", "i2").applyInArrow(_cell_links, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): with how many other documents each one links.
+
+    Every pair is verified, those within one component too. Where an id is repeated with other texts,
+    each of its distinct shingle sets counts as one document. A row whose doc_id is null has none.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    out, ids, sets, whole = _joined(docs, scratch)
+    ids = scratch.cut(ids.select("rep", "doc_id"))
+    copies = scratch.cut(ids.groupBy("rep").agg(F.count("*").alias("copies")))
+    between = scratch.cut(_links_between_classes(sets, whole, copies))
+    # one number a class, then one a document
+    total = copies.join(between, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    links = ids.join(total, "rep").groupBy("doc_id").agg(F.sum("links").alias("n_links"))
+    named = out.join(links, "doc_id", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.unionByName(_nameless(docs).withColumn("n_links", F.lit(None).cast("long")))

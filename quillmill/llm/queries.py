@@ -38,6 +38,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -69,7 +73,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", *counts)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms)}
 
 _OP3 = r"""
 WITH RECURSIVE w AS (
@@ -83,6 +87,15 @@ r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 """
 
+_OP3_LINKS = (
+    _OP3.rsplit("\nSELECT", 1)[0]
+    + r""",
+k AS (SELECT a AS doc_id, count(*) AS n FROM l GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id, CAST(coalesce(any_value(k.n), 0) AS BIGINT) AS n_links
+FROM s JOIN r USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY s.doc_id, len(s.s)
+"""
+)
+
 _OP4 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -135,4 +148,4 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN kept <> pag
 FROM p LEFT JOIN k ON k.d = p.d AND n >= 1000
 """
 
-ORACLE_SQL = {"op3_jaccard_join": _OP3, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op9_warc": _OP9}
+ORACLE_SQL = {"op3_jaccard_join": _OP3, "op3_jaccard_links": _OP3_LINKS, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op9_warc": _OP9}

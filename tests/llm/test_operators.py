@@ -162,6 +162,30 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(d.where("false")).count() == 0
 
 
+def brute_links(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := low(t).split()) >= 5 else {tuple(w)} - {()} for i, t in rows}
+    close = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(close(a, sets[j]) for j in sets if j != i) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("cell", [None, 7])
+def test_links_within_components_are_counted(spark, monkeypatch, cell):
+    if cell:  # many blocks and bands
+        monkeypatch.setattr(jaccard_join, "CELL_SETS", cell)
+        monkeypatch.setattr(jaccard_join, "CELL_COLUMNS", 16)
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    hot = [" ".join(w if r.random() > 0.006 else f"x{r.random()}" for w in base[: r.choice([100, 108, 120])]) for _ in range(60)]
+    texts = [None, "", "one", "one", *hot, hot[0], hot[0], *near_copies(r, 60)]
+    got = {x.doc_id: x for x in jaccard_join.jaccard_links(docs(spark, texts).repartition(5)).collect()}
+    assert {i: x.n_links for i, x in got.items()} == brute_links(enumerate(texts))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == brute_jaccard(enumerate(texts))
+    if not cell:
+        odd = jaccard_join.jaccard_links(docs(spark, ["a b c d e f"] * 3 + ["x y"], [7, 7, 3, None])).collect()
+        assert sorted((x.doc_id or -1, x.n_links) for x in odd) == [(-1, None), (3, 1), (7, 1)]
+        assert jaccard_join.jaccard_links(docs(spark, texts).where("false")).count() == 0
+
+
 # --- 4 ---
 
 
