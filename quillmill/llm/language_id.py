@@ -9,9 +9,12 @@ rows kept out of the counts. A text is rejected if its cross-entropy, each word
 fits it best, exceeds a calibrated limit that widens for short texts: a text in two known languages
 is kept, one in none is not.
 
-Models are fitted on a bounded sample: at most ``ROWS`` labelled rows of each of the ``LANGUAGES``
-most frequent languages, texts of ``TEXT_CHARS`` characters or fewer, chosen by a hash. Every text
-is predicted whole: a task scores each distinct word once while its word table lasts, and sums.
+Models are fitted on a bounded sample of every language that labels a text with letters: the ``ROWS``
+distinct texts of the least hash (fewer each beyond ``FULL_LANGUAGES`` languages), of ``TEXT_CHARS``
+characters or fewer; of a language with longer texts only, their first ``TEXT_CHARS`` letters. A
+language of fewer than ``KEPT_OUT`` texts is learned from all of them. More than ``LANGUAGES``
+languages are an error, not cut. Every text is predicted whole: a task scores each distinct word once
+while its word table lasts, and sums.
 
 A null text, or one without letters, is ``und`` with score 0 and rejected. Without any labelled row
 every text is. Ties go to the language that sorts first. Extra columns are ignored; rows that repeat
@@ -21,7 +24,7 @@ are answered each.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -29,9 +32,9 @@ from .shingles import U, _powers, mix
 
 ORDER = 5
 ROWS = 400
-LANGUAGES = 64
+LANGUAGES = 256  # models are dense in languages
+FULL_LANGUAGES = 64
 TEXT_CHARS = 20_000
-LEAST_ROWS = 5
 KEPT_OUT = 5  # every fifth row calibrates
 UNSEEN = 5_000  # characters that share the probability of unseen ones
 MARGIN = 2.0  # times the widest deviation among the rows that calibrate
@@ -231,28 +234,33 @@ class Known:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS) -> Model | None:
     """A model of the labelled rows' languages, from a bounded sample; None without any."""
-    sized = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    short = sized.where(F.length("text") <= TEXT_CHARS)
-    counts = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    counts = {r["lang"]: r["count"] for r in counts if r["count"] >= LEAST_ROWS}
-    if not counts:
+    sized = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sized = sized.select("lang", "text", F.xxhash64("text").alias("h"), (F.length("text") > TEXT_CHARS).alias("long"))
+    languages = sized.groupBy("lang").agg(F.min("long").alias("long")).limit(LANGUAGES + 1).collect()
+    if not languages:
         return None
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, int(min(1.0, 1.3 * rows / n) * 1_000_000)).otherwise(share)
-    sample = short.withColumn("h", F.xxhash64("text")).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled; none may be left out")
+    rows = max(KEPT_OUT, min(rows, rows * FULL_LANGUAGES // len(languages)))
+    usable = sized.where(~F.col("long") | F.col("lang").isin([r.lang for r in languages if r.long]))
+    # the distinct texts of the least hash: ranked by hash alone, so that no task gathers a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = usable.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "h")
+    letters = F.substring(F.trim(F.regexp_replace("text", r"\P{L}+", " ")), 1, TEXT_CHARS)
+    sample = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max(F.when(F.col("long"), letters).otherwise(F.col("text"))).alias("text"))
 
     def learn(group):
         import pyarrow as pa
 
         name = group.column("lang")[0].as_py()
-        texts = [t for _, t in sorted(zip(group.column("h").to_pylist(), group.column("text").to_pylist(), strict=True))[:rows]]
+        texts = [t for _, t in sorted(zip(group.column("h").to_pylist(), group.column("text").to_pylist(), strict=True))]
+        kept_out = texts[::KEPT_OUT] if len(texts) >= KEPT_OUT else []
         out = {"lang": [], "k": [], "part": [], "data": [], "text": []}
-        for k, level in enumerate(count_language([t for i, t in enumerate(texts) if i % KEPT_OUT])):
+        for k, level in enumerate(count_language([t for i, t in enumerate(texts) if i % KEPT_OUT or not kept_out])):
             for part, x in level.items():
                 out["lang"].append(name), out["k"].append(k), out["part"].append(part), out["text"].append(None)
                 out["data"].append((x.astype(np.int64) if part == "count" else x).tobytes())
-        for t in texts[::KEPT_OUT]:
+        for t in kept_out:
             out["lang"].append(name), out["k"].append(-1), out["part"].append("text"), out["text"].append(t), out["data"].append(None)
         return pa.table({"lang": pa.array(out["lang"], pa.string()), "k": pa.array(out["k"], pa.int32()), "part": pa.array(out["part"], pa.string()), "data": pa.array(out["data"], pa.binary()), "text": pa.array(out["text"], pa.string())})
 

@@ -64,6 +64,20 @@ def test_language(spark):
     assert [x.lang_pred for x in language_id.identify(docs(spark, ["abc"]), None).collect()] == ["und"]
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    # 70 languages of one row each, one with long texts only, each in letters of its own
+    word = lambda k, n=4: "".join(chr(0x4E00 + 40 * k + i % 9) for i in range(n))
+    rows = [(k, " ".join(word(k, n) for n in range(3, 20)), f"l{k}") for k in range(70)] + [(70, "1 2 " * 6_000 + (word(70, 7) + " ") * 3_000, "l70")]
+    d = spark.createDataFrame([*rows, (71, "12 34", "no letters"), (72, "words", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    assert model.languages == sorted(r[2] for r in rows)
+    got = {x.doc_id: (x.lang_pred, x.accepted) for x in language_id.identify(d.where("doc_id < 71"), model).collect()}
+    assert got == {k: (lang, True) for k, _, lang in rows}
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language_id.fit(d)
+
+
 def test_kneser_ney_is_a_distribution():
     counts = {"a": language_id.count_language(["abab abc cab"]), "b": language_id.count_language(["xyz xxy"])}
     m = language_id.Model(counts)
