@@ -91,9 +91,10 @@ class Lexicon:
             for k, v in self.entries.items():
                 self._automaton.add_word(" " + k, v)
             self._automaton.make_automaton()
-        folded = " " + fold(text)
-        found = self._automaton.iter_long(folded) if self.entries else ()
-        return float(sum(w for _, w in found)), len(folded.split())
+        words = fold(text).split()
+        # two blanks between words: a match that takes a word's end blank leaves the next word's first
+        found = self._automaton.iter_long(" " + "  ".join(words) + " ") if self.entries else ()
+        return float(sum(w for _, w in found)), len(words)
 
     def score(self, text: str | None) -> tuple[float, float, int]:
         total, words = self.matched(text or "")

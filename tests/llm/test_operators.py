@@ -128,6 +128,13 @@ def test_exceptions_silence_entries():
 # --- 3 ---
 
 
+def test_whole_words_match_side_by_side_and_last():
+    lexicon = toxicity.Lexicon({"moron ": 1.0, "clown": 3.0, "clownfish ": 0.0, "trash": 2.0}, (-3.0, 2.0, 0.0))
+    for text, want in [("moron moron, moron x", 3), ("you moron", 1), ("clownfish trash x", 2), ("a clownfish", 0), ("clownfishes", 3), ("moronic", 0), ("", 0)]:
+        assert lexicon.matched(text)[0] == want, text
+    assert lexicon.matched("you moron")[1] == 2
+
+
 def brute_jaccard(rows):
     sets, parent = {}, {}
     for i, t in rows:
