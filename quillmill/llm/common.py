@@ -1,7 +1,8 @@
-"""Helpers that several operators share: scratch tables, components, text batches."""
+"""Helpers that several operators share: scratch tables, skewed joins, components, text batches."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+#: A key is hot if it holds more than one row in so many; there are no more hot keys than that.
+SHARE = 10_000
+TASK_BYTES = 128_000_000
 _OWN: dict[str, str] = {}
 
 
@@ -18,21 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one of
+    its own; a cluster is an error, as its executors would not see the driver's folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark.sparkContext.applicationId
         path = _OWN[own] = _OWN.get(own) or "file://" + tempfile.mkdtemp(prefix="quillmill-")
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most, whatever the length of a row's text or sets."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs inside; what was set before holds again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage, so that a lost executor costs one stage."""
+    """Tables written to the shared folder to cut lineage, so that a lost executor costs one stage.
+
+    While a table is written, Arrow batches hold 8 MB at most, whatever the length of a row's text or
+    sets; the shuffle files behind it are deleted once it stands.
+    """
+
+    WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
@@ -40,16 +61,58 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with settings(self.spark, self.WRITING):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that ``cut`` wrote, once nothing lazy depends on it."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that ``cut`` wrote, once nothing lazy depends on them."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(df: DataFrame, growth: float = 3.0) -> int:
+    """Tasks for a shuffle of ``growth`` times the bytes that the plan expects of ``df``; the session's
+    number of shuffle partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, int(size * growth / TASK_BYTES)) if size < 1 << 60 else least
+
+
+def hot_keys(counts: DataFrame, key: list[str], rows: int, scratch: Scratch) -> DataFrame | None:
+    """(key, parts): the keys of ``counts`` (key, k) with over 1 / SHARE of ``rows``; None without any.
+
+    There are at most SHARE of them, and 2 * SHARE parts, whatever the input.
+    """
+    parts = F.least(F.col("k"), F.ceil(F.col("k") * F.lit(SHARE) / F.lit(max(rows, 1)))).cast("int")
+    hot = scratch.cut(counts.where((F.col("k") > 1) & (F.col("k") * F.lit(SHARE) > F.lit(rows))).select(*key, parts.alias("parts")))
+    return None if hot.isEmpty() else hot
+
+
+def salted(rows: DataFrame, hot: DataFrame | None, key: list[str], spread: str) -> DataFrame:
+    """Adds ``salt``: a hot key's rows are dealt over its parts by a hash of ``spread``."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    dealt = F.pmod(F.xxhash64(spread), F.coalesce("parts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", dealt).drop("parts")
+
+
+def copied(rows: DataFrame, hot: DataFrame | None, key: list[str]) -> DataFrame:
+    """The other side of ``salted``: a hot key's row once for each of its parts."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", each).drop("parts")
+
+
+def salted_join(left: DataFrame, right: DataFrame, hot: DataFrame | None, key: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """An equi join whose hot keys on the left are dealt over several tasks."""
+    if hot is None:
+        return left.join(right, key, how)
+    return salted(left, hot, key, spread).join(copied(right, hot, key), [*key, "salt"], how).drop("salt")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None = None) -> DataFrame:
@@ -59,28 +122,35 @@ def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None =
     connected nodes may still differ.
 
     Alternates large-star and small-star steps: each is one aggregation with map-side combine and
-    one equi join, and the number of edges never grows. Ends when a step pair changes nothing.
+    one equi join, whose hubs are dealt over several tasks; the number of edges never grows. Ends
+    when a step pair changes nothing.
     """
     e = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+
+    def star(rows: DataFrame, least, of: str) -> tuple[DataFrame, DataFrame]:
+        """Each node's least neighbour m; (neighbour, m) of the neighbours ``of`` names, and (node, m)."""
+        low = scratch.cut(rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("k")))
+        hubs = hot_keys(low.select("a", "k"), ["a"], low.agg(F.sum("k")).first()[0] or 0, scratch)
+        return low, salted_join(rows.where(of), low.select("a", "m"), hubs, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+
     state = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(e.join(low, "a").select("a", F.col("m").alias("b")))
+        low, large = star(both, F.least(F.min("b"), F.col("a")), "b > a")
         large = scratch.cut(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        least, small = star(large, F.min("b"), "true")
         small = scratch.cut(small.where("a <> b").distinct())
-        scratch.drop(e)
-        scratch.drop(large)
+        scratch.drop(e, low, large, least)
         e = small
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         steps = steps and steps - 1
         if now == state or steps == 0:
             break
         state = now
-    return scratch.cut(e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    ends = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    out = scratch.cut(ends.groupBy("node").agg(F.min("component").alias("component")))
+    scratch.drop(e)
+    return out
 
 
 def slices(column, most_bytes: int = 2_000_000):

@@ -12,10 +12,17 @@ orders are used:
 * orders 2 (coarse rarity, then a second hash) and 3 (a third hash) must agree: candidates whose
   prefixes share nothing under either are dropped before whole sets are compared.
 
-Equal sets are one class from the start. Candidates of a class bucket are never all pairs: each
-round compares the members with one pivot of another component, and what is linked already is not
-compared again. Once the pairs still open are in proportion to the postings, all of them are
-compared, so no link between components is lost.
+Equal sets are one class from the start: they count as one in every order, and only one of them is
+read again. Candidates of a shingle's list are never all pairs at once: round k compares the members
+with 4 ** k pivots, which then leave the list, and what is linked already is not compared again. Once
+the pairs still open are at most ``OPEN`` times the postings, all of them are compared, so no link
+between components is lost. Lists of many sets without links cost most: their pairs pass the filters
+or not one by one, over the rounds.
+
+Keys that hold over one row in 10,000 (shingles, pivots, classes, hubs) are dealt over several tasks;
+there are at most 10,000 of them, so what is broadcast for it is bounded. Full sets are read by a
+broadcast of the ids wanted up to ``BROADCAST_ROWS``, by a shuffle join beyond: the plan changes, the
+rows do not.
 
 The links within a component are counted on request (``jaccard_links``): a link joins its ends, so
 all links lie within components, and every pair of a component's classes whose sizes allow a link is
@@ -36,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, connected_components, slices
+from .common import Scratch, connected_components, copied, hot_keys, salted, salted_join, slices, tasks_for
 from .shingles import U, mix, shingle_sets
 
 WIDTH = 5
@@ -44,8 +51,8 @@ SKETCH_BITS = 22
 PARITY_BITS = 512
 FLUSH = 400_000
 BROADCAST_ROWS = 1_000_000
+OPEN = 32
 MULTI = np.iinfo(np.int64).min
-ROUNDS = 4
 CELL_SETS = 1_024  # sets of a block, and their shingles
 CELL_SHINGLES = 400_000
 CELL_COLUMNS = 4_096
@@ -70,106 +77,118 @@ def _longer(n: int) -> tuple[int, int]:
     return min(n, n // 5 + 1 + n // 10), 1 + 8 * n // 100
 
 
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set; equal sets, equal digests."""
+    return (int(np.bitwise_xor.reduce(mix(s, 21)).view(np.int64)), int(np.add.reduce(mix(s, 22)).view(np.int64))) if len(s) else (0, 0)
+
+
 def _from_texts(rows):
     for doc, sets in _batches(rows):
         for d, s in zip(doc.to_pylist(), sets, strict=True):
-            yield d, len(s), s[: _longer(len(s))[0]]
+            yield d, len(s), _digests(s), s[: _longer(len(s))[0]]
 
 
 def _from_sets(rows):
     for batch in rows:
-        for d, s in zip(batch.column("rep").to_pylist(), batch.column("tokens"), strict=True):
+        for d, s1, s in zip(batch.column("rep").to_pylist(), batch.column("s1").to_pylist(), batch.column("tokens"), strict=True):
             s = np.frombuffer(s.as_buffer(), dtype=U)
-            yield d, len(s), s
+            yield d, len(s), (s1, 0), s
 
 
 def _packed(parts: int, source):
-    """Packs shingles with their documents by hash bucket; counts what repeats within the flush."""
+    """Packs shingles, tagged by their set's first digest, by hash bucket, and what is told of the
+    documents beside them. Equal sets are sent once a flush; what different ones share within it is
+    counted there."""
     import pyarrow as pa
 
-    def flush(ids, sizes, tokens):
-        ids, sizes = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
-        token = np.concatenate(tokens) if tokens else np.zeros(0, dtype=U)
-        row = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
+    def flush(ids, sizes, digests, tokens):
+        ids, sizes, digests = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array(digests, dtype=np.int64).reshape(-1, 2)
+        _, once = np.unique(digests[:, 0], return_index=True)
+        token = np.concatenate([tokens[i] for i in once]) if len(once) else np.zeros(0, dtype=U)
+        row = np.repeat(once, [len(tokens[i]) for i in once])
         o = np.argsort(token, kind="stable")
         token, row = token[o], row[o]
-        first = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(first)
-        # a repeat of one id is no second document
-        same = ids[row]
-        other = np.zeros(len(at), dtype=bool)
-        if len(at):
-            other = np.minimum.reduceat(same, at) != np.maximum.reduceat(same, at)
+        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.append(at, len(token)))
-        shared_here = np.repeat(other, count)
-        local = np.bincount(row[shared_here], minlength=len(ids)) if len(ids) else np.zeros(0, dtype=np.int64)
-        out_token, out_doc = token[at], np.where(other, MULTI, same[at])
+        local = np.bincount(row[np.repeat(count > 1, count)], minlength=len(ids)).astype(np.int64)
+        out_token, out_tag = token[at], np.where(count > 1, MULTI, digests[row[at], 0] if len(at) else 0)
         bucket = (mix(out_token, 11) % U(parts)).astype(np.int64)
         home = (mix(ids.astype(U), 12) % U(parts)).astype(np.int64)
         o, h = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
         cut = np.searchsorted(bucket[o], np.arange(parts + 1))
         cut_h = np.searchsorted(home[h], np.arange(parts + 1))
         used = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_h) > 0))
-        pick = lambda x, order, c: [x[order[c[k] : c[k + 1]]].tobytes() for k in used]
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(used), "token": pa.array(pick(out_token, o, cut), pa.binary()), "doc": pa.array(pick(out_doc, o, cut), pa.binary()), "id": pa.array(pick(ids, h, cut_h), pa.binary()), "n": pa.array(pick(sizes, h, cut_h), pa.binary()), "shared": pa.array(pick(local.astype(np.int64), h, cut_h), pa.binary())})
+        pick = lambda x, order, c: pa.array([x[order[c[k] : c[k + 1]]].tobytes() for k in used], pa.binary())
+        told = {k: pick(v, h, cut_h) for k, v in (("id", ids), ("n", sizes), ("s1", digests[:, 0]), ("s2", digests[:, 1]), ("shared", local))}
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(used), "token": pick(out_token, o, cut), "tag": pick(out_tag, o, cut), **told})
 
     def run(rows):
-        ids, sizes, tokens, held = [], [], [], 0
-        for d, n, s in source(rows):
+        ids, sizes, digests, tokens, held = [], [], [], [], 0
+        for d, n, both, s in source(rows):
             ids.append(d)
             sizes.append(n)
+            digests.append(both)
             tokens.append(s)
-            held += len(s) + 4
+            held += len(s) + 8
             if held >= FLUSH:
-                yield flush(ids, sizes, tokens)
-                ids, sizes, tokens, held = [], [], [], 0
+                yield flush(ids, sizes, digests, tokens)
+                ids, sizes, digests, tokens, held = [], [], [], [], 0
         if ids:
-            yield flush(ids, sizes, tokens)
+            yield flush(ids, sizes, digests, tokens)
 
     return run
 
 
+PACKED = "bucket long, token binary, tag binary, id binary, n binary, s1 binary, s2 binary, shared binary"
+COUNTED = "doc_id long, n long, s1 long, s2 long, shared long"
+
+
 def _count_bucket(group):
     import pyarrow as pa
 
     def whole(name, kind):
         return np.concatenate([np.frombuffer(x, dtype=kind) for x in group.column(name).to_pylist()])
 
-    token, doc = whole("token", U), whole("doc", np.int64)
-    ids, n, local = whole("id", np.int64), whole("n", np.int64), whole("shared", np.int64)
-    o = np.argsort(token, kind="stable")
-    token, doc = token[o], doc[o]
+    token, tag = whole("token", U), whole("tag", np.int64)
+    o = np.lexsort((tag, token))
+    token, tag = token[o], tag[o]
     out = np.zeros(0, dtype=np.int64)
     if len(token):
+        # a set that several flushes sent is one
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (tag[1:] != tag[:-1])))
+        token, tag = token[new], tag[new]
         at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (doc[at] == MULTI)
-        out = doc[np.repeat(several, np.diff(np.append(at, len(token)))) & (doc != MULTI)]
+        count = np.diff(np.append(at, len(token)))
+        out = tag[np.repeat((count > 1) | (tag[at] == MULTI), count) & (tag != MULTI)]
     found, count = np.unique(out, return_counts=True)
-    return pa.table({"doc_id": np.concatenate([ids, found]), "n": np.concatenate([n, np.zeros_like(found)]), "shared": np.concatenate([local, count.astype(np.int64)])})
+    told = {k: pa.array(whole(k, np.int64)) for k in ("id", "n", "s1", "s2", "shared")}
+    none = lambda: pa.nulls(len(found), pa.int64())
+    rest = {"id": none(), "n": none(), "s1": pa.array(found), "s2": none(), "shared": pa.array(count.astype(np.int64))}
+    return pa.table([pa.concat_arrays([told[k], rest[k]]) for k in told], names=["doc_id", "n", "s1", "s2", "shared"])
 
 
-def _shared_counts(rows: DataFrame, source) -> DataFrame:
-    """(doc_id, n, shared): how many of the shingles that ``source`` gives another document gives too."""
-    parts = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(_packed(parts, source), "bucket long, token binary, doc binary, id binary, n binary, shared binary")
-    counted = packed.groupBy("bucket").applyInArrow(_count_bucket, "doc_id long, n long, shared long")
-    return counted.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-
-
-def sizes_and_survivors(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, open) of each document; open: order A does not rule out a link."""
-    out = _shared_counts(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _from_texts).withColumnRenamed("n", "n_shingles")
-    return out.select("doc_id", "n_shingles", F.expr("n_shingles > 0 and shared >= 1 + n_shingles * 8 div 100").alias("open"))
+def _shared_counts(rows: DataFrame, source, tasks: int) -> DataFrame:
+    """(doc_id, n, s1, s2, shared) of every document, and rows without doc_id: by s1, the sum of
+    ``shared`` is how many of the shingles that ``source`` gives a set another set gives too, or more."""
+    parts = 8 * tasks
+    return rows.mapInArrow(_packed(parts, source), PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, COUNTED)
 
 
 def _full_sets(rows):
+    """The sets of texts; where the digests asked for are given, only sets of these."""
     import pyarrow as pa
 
-    for doc, sets in _batches(rows):
-        a = [int(np.bitwise_xor.reduce(mix(s, 21))) if len(s) else 0 for s in sets]
-        b = [int(np.add.reduce(mix(s, 22))) if len(s) else 0 for s in sets]
-        signed = lambda x: pa.array(np.array(x, dtype=U).view(np.int64))
-        yield pa.RecordBatch.from_pydict({"doc_id": doc, "n": pa.array([len(s) for s in sets], pa.int64()), "s1": signed(a), "s2": signed(b), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+    for batch in rows:
+        asked = [batch.column(k).to_numpy() if k in batch.schema.names else None for k in ("s1", "s2")]
+        at = 0
+        for doc, sets in _batches([batch]):
+            pairs = np.array([_digests(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            keep = np.ones(len(sets), dtype=bool)
+            if asked[0] is not None:
+                keep = (pairs[:, 0] == asked[0][at : at + len(sets)]) & (pairs[:, 1] == asked[1][at : at + len(sets)])
+            at += len(sets)
+            out = pa.RecordBatch.from_pydict({"rep": doc, "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(pairs[:, 0]), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield out.filter(pa.array(keep))
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -254,19 +273,100 @@ def _verify(rows):
         yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
 
 
-def _with_both(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
-    for end in "ab":
-        pairs = pairs.join(side.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-    return pairs
+def _with_both(pairs: DataFrame, n: int, side: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """``pairs`` (n of them) with the columns of both ends; a pivot of many pairs is dealt over several tasks."""
+    out = pairs
+    for end, other in ("ab", "ba"):
+        hot = hot_keys(pairs.groupBy(end).agg(F.count("*").alias("k")), [end], n, scratch)
+        out = salted_join(out, side.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), hot, [end], other)
+    return out
+
+
+#: Links have like sizes; their intersection is at most the smaller count of shingles that are not a document's own;
+#: every bin of unlike parity holds a shingle that one of the two lacks, and (n + n2) / 9 may.
+FITS = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 180 * least(shared_a, shared_b) >= 80 * (n_a + n_b) and 9 * (" + " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(PARITY_BITS // 64)) + ") <= n_a + n_b"
 
 
 def _links(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    near = scratch.cut(_with_both(pairs, prefixes, ["p2", "p3"]).mapInArrow(_share, "a long, b long"))
-    return scratch.cut(_with_both(near, sets, ["tokens"]).mapInArrow(_verify, "a long, b long"))
+    pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    near = _with_both(pairs, pairs.count(), prefixes, ["n", "shared", "bits", "p2", "p3"], scratch).where(FITS).select("a", "b", "p2_a", "p3_a", "p2_b", "p3_b")
+    near = scratch.cut(near.mapInArrow(_share, "a long, b long").distinct())
+    out = scratch.cut(_with_both(near, near.count(), sets, ["tokens"], scratch).mapInArrow(_verify, "a long, b long"))
+    scratch.drop(pairs, near)
+    return out
+
+
+def _postings(prefixes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(token, salt, rep, n, at) of the prefix shingles that make candidates, and the hot ones' parts;
+    ``at`` is how many shingles of the set come before in order 1."""
+    every = prefixes.select("rep", "n", F.posexplode("p1").alias("at", "token"))
+    counts = every.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"), F.min("at").alias("first"))
+    counts = scratch.cut(counts.where("k > 1"))
+    hot = hot_keys(counts, ["token"], counts.agg(F.sum("k")).first()[0] or 0, scratch)
+    # shingles held by the same sets make the same candidates: the one that is first in all of them is enough
+    lists = counts.groupBy("k", "x1", "x2").agg(F.min_by("token", "first").alias("token")).select("token")
+    post = salted(every, hot, ["token"], "rep").join(copied(lists, hot, ["token"]), ["token", "salt"]).select("token", "salt", "rep", "n", "at")
+    return scratch.cut(post), hot
+
+
+#: Like sizes; and were this shingle the first that both prefixes hold, no more than what comes from it on is shared.
+MAY = "c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and 9 * least(n - at, n2 - at2) >= 4 * (n + n2)"
+
+
+def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect all sets that links connect.
+
+    Round k compares the members of each shingle's list with 4 ** k pivots of theirs, which then
+    leave the list, as all their pairs in it are decided; members of one component are not compared.
+    Once the pairs still open are at most ``OPEN`` times the postings they are all compared.
+    """
+    post, hot = _postings(prefixes, scratch)
+    most = OPEN * post.count()
+    links, component = scratch.cut(sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")), None
+    key, member = ["token", "salt"], ["rep", "n", "at"]
+    k = 0
+    while True:
+        now = post.withColumn("c", F.col("rep"))
+        if component is not None:
+            now = post.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, *member, F.coalesce("component", "rep").alias("c"))
+        now = scratch.cut(now.withColumn("h", F.xxhash64("rep", F.lit(k))))
+        # the largest component of each list that holds several
+        sizes = now.groupBy("token", "c").agg(F.count("*").alias("k"), F.min("h").alias("h"))
+        heads = sizes.groupBy("token").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.max_by("c", "k").alias("c_top"), F.min("h").alias("h_least"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        heads = scratch.cut(heads)
+        cost = heads.agg(F.sum((F.col("m") - F.col("top")) * F.col("m")).alias("x"), F.sum("m").alias("m")).first()
+        if not cost.x:
+            break
+        heads_ = copied(heads, hot, ["token"])
+        last = cost.x <= most
+        as_other = [F.col("rep").alias("a"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2")]
+        if last:
+            outside = now.join(heads_.select(*key, "c_top"), key).where("c <> c_top").select("token", *as_other)
+            pairs = now.join(copied(outside, hot, ["token"]), key)
+        else:
+            share = F.lit(float(4**k)) / F.col("m")
+            bound = F.greatest("h_least", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long")))
+            open_ = scratch.cut(now.join(heads_.select(*key, bound.alias("bound")), key).withColumn("pivot", F.col("h") <= F.col("bound")).drop("bound", "h"))
+            pivots = open_.where("pivot").select("token", *as_other)
+            pairs = open_.join(copied(pivots, hot, ["token"]), key)
+        found = _links(pairs.where(MAY).select("a", F.col("rep").alias("b")), sets, prefixes, scratch)
+        both = scratch.cut(links.unionByName(found).distinct())
+        scratch.drop(links, found, now, heads, post)
+        links = both
+        if last:
+            break
+        post = scratch.cut(open_.where("not pivot").select(*key, *member))
+        scratch.drop(open_)
+        if component is not None:
+            scratch.drop(component)
+        # what one step pair joins is joined; the whole components are found once, at the end
+        component = connected_components(links, scratch, 1)
+        k += 1
+    return links
 
 
 def _nameless(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_full_sets, "doc_id long, n long, s1 long, s2 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_full_sets, "rep long, n long, s1 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -278,69 +378,44 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents with their components; (rep, doc_id) of the classes' documents; (rep, n, tokens) of
     the classes that may link with others; (node, component) of whatever links."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    stats = scratch.cut(sizes_and_survivors(docs))
-    open_ids = stats.where("open").select("doc_id")
-    if open_ids.count() <= BROADCAST_ROWS:
-        open_ids = F.broadcast(open_ids)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(open_ids, "doc_id")
-    full = scratch.cut(texts.mapInArrow(_full_sets, "doc_id long, n long, s1 long, s2 long, tokens binary").where("n > 0"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tasks = tasks_for(docs)
+    counted = scratch.cut(_shared_counts(texts, _from_texts, tasks))
+    told = counted.where("doc_id is not null").select("doc_id", "n", "s1", "s2")
     # sets are one class if size and two 64-bit digests agree
-    classes = scratch.cut(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    sets = scratch.cut(full.join(classes, ["n", "s1", "s2"]).where("doc_id = rep").select("rep", "n", "s1", "tokens").dropDuplicates(["rep", "s1"]))
-    member = full.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "rep")
-    # the same count over whole sets, one per class: who has over a fifth to itself links with nothing
-    common = _shared_counts(sets.select("rep", "tokens"), _from_sets).where("n - shared <= n div 5").select(F.col("doc_id").alias("rep"), "shared")
-    sets = scratch.cut(sets.select("rep", "n", "tokens").join(common, "rep"))
-    shared = spark.sparkContext.broadcast(_sketch(sets))
+    key = ["n", "s1", "s2"]
+    classes = scratch.cut(told.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")))
+    total = counted.groupBy("s1").agg(F.sum("shared").alias("shared")).where("shared > 0")
+    # order A does not rule out a link
+    open_ = scratch.cut(classes.join(total, "s1").where("shared >= 1 + n * 8 div 100").select(F.col("rep").alias("doc_id"), "s1", "s2"))
+    if open_.count() <= BROADCAST_ROWS:
+        open_ = F.broadcast(open_)
+    sets = scratch.cut(texts.join(open_, "doc_id").mapInArrow(_full_sets, "rep long, n long, s1 long, tokens binary"))
+    # rows that repeat both id and text
+    again = scratch.cut(sets.groupBy("rep", "s1").agg(F.count("*").alias("k")).where("k > 1").select("rep", "s1"))
+    if not again.isEmpty():
+        sets = scratch.cut(sets.join(again, ["rep", "s1"], "left_anti").unionByName(sets.join(again, ["rep", "s1"], "left_semi").dropDuplicates(["rep", "s1"]).select(*sets.columns)))
+    # the same count over whole sets: who has over a fifth to itself links with nothing
+    common = _shared_counts(sets, _from_sets, tasks).groupBy("s1").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).where("n - shared <= n div 5")
+    common = scratch.cut(common.select("s1", F.least("shared", "n").alias("shared")))
+    sets = scratch.cut(sets.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common, "s1"))
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
     prefixes = scratch.cut(sets.mapInArrow(_prefixes(shared), "rep long, n long, shared long, bits array<long>, p1 array<long>, p2 binary, p3 binary"))
-    post = prefixes.select("rep", "n", "shared", "bits", F.explode("p1").alias("token"))
-    lists = post.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("m > 1")
-    # shingles held by the same sets make the same candidates: one of them is enough
-    lists = lists.groupBy("m", "x1", "x2").agg(F.min("token").alias("token")).select("token")
-    post = scratch.cut(post.join(lists, "token"))
-    links, component, before = None, None, None
-    for k in range(ROUNDS + 1):
-        now = post.select("*", F.col("rep").alias("c")) if component is None else post.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "shared", "bits", F.coalesce("component", "rep").alias("c"))
-        now = scratch.cut(now)
-        heads = now.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "shared", "bits", "c")).alias("pivot")).where("low <> high")
-        # the intersection is at most the smaller count of shingles that are not a document's own
-        fits = "c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and 180 * least(shared, shared2) >= 80 * (n + n2)"
-        # every bin with unlike parity holds a shingle that one of them lacks; (n + n2) / 9 may
-        fits += " and 9 * (" + " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(PARITY_BITS // 64)) + ") <= n + n2"
-        pairs = F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")
-        largest = now.join(heads.select("token"), "token").groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", F.col("c").alias("c_top"))).alias("top"), F.sum("k").alias("m"))
-        largest = scratch.cut(largest.select("token", "top.c_top", (F.col("m") - F.col("top.k")).alias("rest"), "m"))
-        cost = largest.agg(F.sum(F.col("rest") * F.col("m")).alias("x"), F.sum("m").alias("m")).first()
-        if not cost.x:
-            break
-        # pivots go on while they settle a good part of what is open
-        last, before = cost.x <= 2 * cost.m or k == ROUNDS or (before is not None and cost.x > 0.8 * before), cost.x
-        if last:  # every pair of different components that is left, at the first prefix shingle they share
-            still = now.join(largest.select("token", "c_top"), "token")
-            still = scratch.cut(still.join(still.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("at")), "rep"))
-            other = still.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("bits").alias("bits2"), F.col("c").alias("c2"), F.col("at").alias("at2"), F.col("c_top").alias("top2"))
-            # a pair is made from the side outside the largest component, or from the smaller id
-            once = "(c2 = top2 or rep < rep2) and array_intersect(at, at2)[0] = token"
-            made = still.where("c <> c_top").join(other, "token").where(f"{fits} and {once}")
-        else:
-            pivot = heads.select("token", F.col("pivot.rep").alias("rep2"), F.col("pivot.n").alias("n2"), F.col("pivot.shared").alias("shared2"), F.col("pivot.bits").alias("bits2"), F.col("pivot.c").alias("c2"))
-            made = now.join(pivot, "token").where(fits)
-        found = _links(scratch.cut(made.select(*pairs).distinct()), sets, prefixes, scratch)
-        links = found if links is None else scratch.cut(links.unionByName(found).distinct())
-        if last:
-            break
-        # what one step pair joins is joined; the whole components are found once, at the end
-        component = connected_components(links, scratch, 1)
-    ids = member.groupBy("rep", "doc_id").agg(F.count("*").alias("copies"))
-    # a document that stands in several classes (its id was repeated with other texts) joins them
-    joins = ids.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    if links is not None:
-        joins = joins.unionByName(links)
+    links = _link_all(sets, prefixes, scratch)
+    # an id that stands in several classes (it was repeated with other texts) joins them
+    twice = scratch.cut(told.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > 1").drop("k"))
+    hot = hot_keys(classes, key, told.count(), scratch)
+    member = salted_join(told.where("n > 0"), classes.select(*key, "rep"), hot, key, "doc_id")
+    repeated = not twice.isEmpty()
+    joins = links
+    if repeated:
+        joins = links.unionByName(member.join(twice, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     whole = connected_components(joins, scratch)
-    out = stats.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out, ids, sets, whole
+    placed = classes.select(*key, "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    out = salted_join(told, placed, hot, key, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    if repeated:
+        out = out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    return out, member.select("rep", "doc_id").distinct(), sets, whole
 
 
 def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
