@@ -3,21 +3,29 @@
 One expression finds candidates; each kind is validated and replaced by a keyed permutation within
 its own format, so equal values become equal pseudonyms in every document:
 
-* payment cards (13 to 19 digits, single spaces or hyphens between): issuer range and Luhn digit
-  checked; the digits between the first four and the check digit are permuted, the check digit is
-  computed anew;
+* payment cards (13 to 19 digits, single spaces or hyphens between; a card in groups of four, or in
+  one run, is found after other digits too): issuer range and Luhn digit checked; the digits between
+  the first four and the check digit are permuted, the check digit is computed anew;
 * telephone numbers (+1 and ten digits, or (ddd) ddd-dddd): the ten digits are permuted;
 * IPv4 addresses with octets up to 255: the 32 bits are permuted;
-* dates yyyy-mm-dd, yyyy/mm/dd and dd.mm.yyyy from 1900 to 2099 that exist: permuted among the days
-  of 1900-01-01 to 2099-11-12 (73,000), or among the 49 days left.
+* dates yyyy-mm-dd (alone or before the T of a timestamp), yyyy/mm/dd and dd.mm.yyyy from 1900 to
+  2099 that exist: permuted among the days of 1900-01-01 to 2099-11-12 (73,000), or among the 49 days
+  left.
 
 Values without such a format are replaced by keyed digests: e-mail addresses, and secrets (32 to 64
 hexadecimal digits in quotation marks after = or :), which keep their length and case.
 
 The permutation is an alternating Feistel network over a x b values, eight rounds of a SHA-256 based
 function; it is a bijection on exactly its format. Numbers that fail validation are left alone, as
-is every text without a candidate. A null text stays null. Extra columns are kept; columns named as
-the counts are replaced.
+is every text without a candidate.
+
+The key is the caller's: who has it can undo the permutations and test guesses of the digests. It is
+a literal of the plan, so keep plans and event logs as private as the key.
+
+Nulls and edges: a null text stays null and has counts of 0, so does an empty one. The patterns have
+possessive or bounded repeats only, so a text of any length is scanned in time linear in it and in
+bounded stack. Rows that repeat are answered each; an empty table stays empty. Extra columns are
+kept, whatever their names; columns named as the counts are replaced.
 """
 
 from __future__ import annotations
@@ -26,16 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "set a key of your own"
 KINDS = ("email", "secret", "ip", "date", "phone", "card")
 
 # fixed patterns, by kind
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
 SECRET = r"(?<=[=:]\s{0,2}[\"'])[0-9a-fA-F]{32,64}(?=[\"'])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-DATE = r"(?<![\w./-])(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-])"
+DATE = r"(?<![\w./-])(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![^\WT]|T(?!\d)|[/-])"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}-\d{4})(?!\w)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"
+_ENDS = r"(?!\w|[.-]\d)"
+_FOURS = r"\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{13,19}"
+# digits in any grouping, unless a card of the usual groups begins after the first few
+CARD = rf"(?<![\w.-])(?:(?:{_FOURS}){_ENDS}|(?!(?:\d{{1,12}}[ -]){{1,4}}?(?:{_FOURS}){_ENDS})\d(?:[ -]?\d){{12,18}}{_ENDS})"
 ANY = "|".join((EMAIL, SECRET, IP, DATE, PHONE, CARD))
 
 
@@ -169,14 +179,19 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced and a count n_<kind> (long) added for each kind."""
-    may = F.col(text).rlike("[0-9@]")
-    kinds = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("_found", F.when(may, kinds))
-    new = F.transform("_found", lambda x: pseudonym(key, x["k"], x["m"]))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    kept = [c for c in docs.columns if c not in [f"n_{k}" for k in KINDS]]
+    col = {c: F.col("row").getField(c) for c in kept}
+    # the row travels as one column, so that no name of its can clash with ours
+    may = F.col(f"`{text}`").rlike("[0-9@]")
+    kinds = F.transform(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.when(may, kinds).alias("found"))
+    new = F.transform("found", lambda x: pseudonym(key, x["k"], x["m"]))
     # the pieces between matches and the matches' pseudonyms, in turn
-    whole = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    count = lambda k: F.size(F.filter("_found", lambda x: x["k"] == k))
-    out = found.withColumns({f"n_{k}": F.when(F.size("_found") > 0, count(k)).otherwise(0).cast("long") for k in KINDS})
-    return out.withColumn(text, F.when(F.size("_found") > 0, whole).otherwise(F.col(text))).drop("_found")
+    whole = F.array_join(F.flatten(F.zip_with(F.split(col[text], ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    some = F.size("found") > 0
+    count = lambda k: F.when(some, F.size(F.filter("found", lambda x: x["k"] == k))).otherwise(0).cast("long")
+    return d.select(*[(F.when(some, whole).otherwise(v) if c == text else v).alias(c) for c, v in col.items()], *[count(k).alias(f"n_{k}") for k in KINDS])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,23 @@ from .common import table
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: The setting that holds the pseudonyms' key.
+KEY_SETTING = "spark.quillmill.pseudonyms.key"
+_KEYS: dict[str, str] = {}
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key set for the session; where none is, a random one that lasts as long as the application."""
+    app = spark.sparkContext.applicationId
+    return spark.conf.get(KEY_SETTING, None) or _KEYS.setdefault(app, secrets.token_hex(32))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.remainder(F.col("doc_id"), 4) == 2
@@ -70,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [f"n_{k}" for k in pseudonyms.KINDS]
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", *counts)
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), pseudonym_key(spark)).select("doc_id", "text", *counts)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms)}
