@@ -2,14 +2,17 @@
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters after lower-casing A-Z. A
 window is ``width`` consecutive words of a benchmark item, or all words of a shorter one. The windows'
-hashes form a broadcast hash set. Each document's words are scanned once, in its row: where a word is
-some window's anchor (its longest word), the windows that could hold it there are hashed and looked
-up. Hits are verified word by word against the windows' text, then items and covered words are
-counted. A benchmark of more than ``SET_ROWS`` windows is joined by hash instead of broadcast.
-
-Null and wordless texts have no words, no hits and no items; so have null and wordless items. Rows
+64-bit hashes are a broadcast hash set of ``SET_ROWS`` at most, and so are their anchors (a window's
+longest word); a larger benchmark is dealt by hash into several such sets, and the documents are
+scanned once for each. A scan explodes a document's words within its task: where a word is some
+window's anchor, the windows that could hold it there are hashed and looked up. What is found is
+verified word by word against the windows' text, then items and covered words are counted.
+
+Null, empty and wordless texts have no words, no hits and no items; so have null, empty and wordless
+items, and all documents where the benchmark is empty. A text of any length is scanned whole. Rows
 that repeat a document give a row each. Items of a null item_id count as hits but not as items.
-Extra columns of either table are ignored, those of the documents kept where documents are returned.
+Extra columns of either table are ignored, whatever their names; those of the documents are kept
+where documents are returned.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, Scratch
+from .common import ASCII_LOWER, ASCII_UPPER, Scratch, hot_keys, salted_join
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_CHARACTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
-SET_ROWS = 500_000
+SET_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -32,83 +36,84 @@ def words(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(lowered, SEPARATORS), lambda w: w != ""), F.array().cast("array<string>"))
 
 
-def _hash(words: Column, start: Column, width: int) -> Column:
-    return F.xxhash64(F.lit(width), *[F.get(words, start + k) for k in range(width)])
+def _hash(words: Column, start: Column, n: Column) -> Column:
+    return F.xxhash64(n, F.slice(words, start + 1, n))
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, n, window text, hash, anchor) of every distinct window of every item."""
+    """(item_id, n, window text, hash, anchor) of every distinct window of every item; the anchor is hashed."""
     w = benchmark.select(F.col("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     n = F.least(F.size("w"), F.lit(width))
     w = w.select("item_id", n.alias("n"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("s"))
     w = w.select("item_id", "n", F.slice("w", F.col("s") + 1, F.col("n")).alias("w"))
-    hashed = F.coalesce(*[F.when(F.col("n") == k, _hash(F.col("w"), F.lit(0), k)) for k in range(1, width + 1)])
     anchor = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
-    return w.select("item_id", "n", F.array_join("w", " ").alias("window"), hashed.alias("hash"), anchor.alias("anchor")).distinct()
-
+    return w.select("item_id", "n", F.array_join("w", " ").alias("window"), _hash(F.col("w"), F.lit(0), F.col("n")).alias("hash"), F.xxhash64(anchor).alias("anchor")).distinct()
 
-def _candidate_starts(anchors: list[str], hashes: dict[int, list[int]]) -> Column:
-    """Of a row's words w: the (start, n) of all windows whose hash is in the set."""
-    at = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(anchors), i)))
 
-    def of(n):
-        def look(p):
-            starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: p - o)
-            return F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("w")) & _hash(F.col("w"), s, n).isin(hashes[n]))
+def _candidates(lengths: list[int]) -> Column:
+    """The (s, n) of all windows that could hold the word at ``at``, and (-1, 0) once for each document."""
+    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("n"))))
+    of = lambda n: F.transform(F.filter(F.sequence(F.col("at") - (n - 1), F.col("at")), lambda s: (s >= 0) & (s + n <= F.size("w"))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+    none = F.array().cast("array<struct<s:int,n:int>>")
+    return F.concat(F.coalesce(first, none), F.when(F.col("is_anchor"), F.concat(*[of(n) for n in lengths])).otherwise(none))
 
-        return F.transform(F.array_distinct(F.flatten(F.transform(F.col("at"), look))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
 
-    return at, F.concat(*[of(n) for n in sorted(hashes)])
+def scan(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, n_words, s, n, hash, window): the windows of ``rows`` (key, w) whose hash is that of one of
+    ``found``, and one row with s = -1 for every row."""
+    anchors = F.broadcast(found.select("anchor").distinct().withColumn("is_anchor", F.lit(True)))
+    hashes = F.broadcast(found.select("hash").distinct().withColumn("is_hash", F.lit(True)))
+    at = rows.select("key", "w", F.posexplode_outer("w").alias("at", "word"))
+    at = at.withColumn("anchor", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).join(anchors, "anchor", "left").where("is_anchor or coalesce(at, 0) = 0")
+    c = at.select("key", "w", F.inline(_candidates(lengths)))
+    c = c.withColumn("hash", F.when(F.col("s") >= 0, _hash(F.col("w"), F.col("s"), F.col("n")))).join(hashes, "hash", "left").where("is_hash or s = -1")
+    return c.select("key", F.size("w").alias("n_words"), "s", "n", "hash", F.when(F.col("s") >= 0, F.array_join(F.slice("w", F.col("s") + 1, F.col("n")), " ")).alias("window"))
 
 
-def _every_start(n: int) -> Column:
-    starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+def _key(docs: DataFrame) -> Column:
+    """What tells the rows of a table of documents apart: the id and two 64-bit hashes of id and text."""
+    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("h1"), F.xxhash64(F.lit(1), docs["text"], docs["doc_id"]).alias("h2"))
 
 
-def scan(docs: DataFrame, found: DataFrame, key: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(documents' key, n_words), and verified hits (key, s, n, item_id); ``found`` is ``windows``."""
-    rows = docs.select(*key, words(F.col("text")).alias("w"))
-    if found.count() <= SET_ROWS:
-        anchors = [r[0] for r in found.select("anchor").distinct().collect()]
-        hashes: dict[int, list[int]] = {}
-        for r in found.select("n", "hash").distinct().collect():
-            hashes.setdefault(r.n, []).append(r.hash)
-        if not anchors:
-            return rows.select(*key, F.size("w").alias("n_words")), rows.select(*key, F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("item_id")).where("false")
-        at, starts = _candidate_starts(anchors, hashes)
-        rows = rows.withColumn("at", at).withColumn("c", F.when(F.size("at") > 0, starts))
+def _contamination(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """(key, n_words, hit_words, items) of each distinct key, and k, how many rows have it."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found = scratch.cut(windows(benchmark.select("item_id", "text"), width))
+    sets = max(1, -(-found.select("n", "hash").distinct().count() // SET_ROWS))
+    lengths = sorted(r[0] for r in found.select("n").distinct().collect())
+    rows = docs.select(_key(docs).alias("key"), words(docs["text"]).alias("w"))
+    if lengths:
+        scans = [scan(rows, found.where(F.pmod("hash", F.lit(sets)) == i), lengths) for i in range(sets)]
+        seen = scratch.cut(scans[0])
+        hits = seen.where("s >= 0")
+        for more in scans[1:]:
+            hits = hits.unionByName(scratch.cut(more.where("s >= 0")))
     else:
-        lengths = [r[0] for r in found.select("n").distinct().collect()]
-        every = F.concat(*[_every_start(n) for n in lengths])
-        rows = rows.withColumn("c", every)
-    text_of = F.transform("c", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.array_join(F.slice("w", x["s"] + 1, x["n"]), " ").alias("window")))
-    seen = scratch.cut(rows.select(*key, F.size("w").alias("n_words"), F.when(F.size("c") > 0, text_of).alias("c")))
-    hits = seen.where("c is not null").select(*key, F.explode("c").alias("c")).select(*key, "c.*").distinct()
-    return seen.drop("c"), hits.join(found.select("item_id", "n", "window"), ["n", "window"]).select(*key, "s", "n", "item_id")
+        seen = scratch.cut(rows.select("key", F.size("w").alias("n_words"), F.lit(-1).alias("s"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("window")))
+        hits = seen.where("s >= 0")
+    every = seen.where("s = -1").groupBy("key").agg(F.max("n_words").alias("n_words"), F.count("*").alias("k"))
+    hits = scratch.cut(hits.select("key", "s", "n", "hash", "window").distinct())
+    counts = hits.groupBy("hash").agg(F.count("*").alias("k"))
+    hot = hot_keys(counts, ["hash"], hits.count(), scratch)
+    text = found.select("hash", F.col("n").alias("n_"), F.col("window").alias("window_"), "item_id")
+    hits = salted_join(hits, text, hot, ["hash"], "key").where("n = n_ and window = window_")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "n")), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
+    of = hits.groupBy("key").agg(covered.alias("hit_words"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return every.join(of.withColumnRenamed("key", "hit_key"), F.expr("key.h1 = hit_key.h1 and key.h2 = hit_key.h2 and key.doc_id <=> hit_key.doc_id"), "left").drop("hit_key")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_words) per document row."""
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    found = scratch.cut(windows(benchmark, width))
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("_h"), "text")
-    seen, hits = scan(keyed, found, ["doc_id", "_h"], scratch)
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "n")), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
-    items = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
-    of = hits.groupBy("doc_id", "_h").agg(covered.alias("hit_words"), items.alias("items"))
-    of = of.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "hit_words", "items")
-    out = seen.join(of, (F.col("_h") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
+    out = _contamination(docs, benchmark, width).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return out.select(
-        "doc_id",
+        "key.doc_id",
         F.col("n_words").cast("long").alias("n_words"),
-        F.when(F.col("hit_words").isNull(), F.lit(0)).otherwise(n_hit).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
+        size("hit_words").alias("n_hit"),
+        size("items").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         F.col("hit_words").isNotNull().alias("contaminated"),
         "hit_words",
-        "_h",
     )
 
 
@@ -116,17 +121,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """``docs`` without contaminated documents, or with the hit words and what follows them cut out.
 
     Cutting repeats no scan: a span's removal can join words that a benchmark window holds, which is
-    left, as it was not there before.
+    left, as it was not there before. The contaminated documents' keys are broadcast up to
+    ``BROADCAST_ROWS``, joined by a shuffle beyond.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    hit = contamination(docs, benchmark, width).where("contaminated").select(F.col("_h").alias("_g"), "hit_words").dropDuplicates(["_g"])
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    hit = scratch.cut(_contamination(docs, benchmark, width).where("hit_words is not null").select(F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "hit_words"))
+    # a row travels as one column, so that no name of its can clash with ours
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(docs).alias("key")).select("row", "key.h1", "key.h2")
+    few = F.broadcast if hit.count() <= BROADCAST_ROWS else lambda d: d
     if remove == "documents":
-        return keyed.join(hit.select("_g"), F.col("_h") == F.col("_g"), "left_anti").drop("_h")
-    word = F.filter(F.split("text", SEPARATORS_ANY_CASE), lambda w: w != "")
-    gap = F.split("text", WORD_CHARACTERS)
+        return keyed.join(few(hit.select("h1", "h2")), ["h1", "h2"], "left_anti").select("row.*")
+    text = F.col("row.text")
+    word = F.filter(F.split(text, SEPARATORS_ANY_CASE), lambda w: w != "")
+    gap = F.split(text, WORD_CHARACTERS)
     kept = F.transform(word, lambda w, i: F.when(F.array_contains("hit_words", i), "").otherwise(F.concat(w, F.get(gap, i + 1))))
-    cut = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(kept, "")))
-    out = keyed.join(hit, F.col("_h") == F.col("_g"), "left").withColumn("text", cut)
-    return out.select(*docs.columns)
+    cut = F.when(F.col("hit_words").isNull(), text).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(kept, "")))
+    out = keyed.join(hit, ["h1", "h2"], "left").withColumn("cut", cut)
+    return out.select(*[F.col("cut").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
