@@ -7,9 +7,15 @@ over those edges, found by distributed star contraction. A url that no rule fits
 alias of it is blocked by a rule. An explicit allow precedes: a url that an allow rule decides stays
 allowed whatever its aliases are. All else is allowed.
 
-Edges come from the pages' canonical links and meta refreshes, and from a table of redirects if
-given. Nodes are urls without their fragment. A null url, or one without ``://``, has an empty host
-and path, fits no rule and has no aliases. Repeated rows give a row each. Extra columns are ignored.
+Edges come from the pages' canonical links and meta refreshes, resolved against the page's address or
+its base element, and from a table of redirects if given. Nodes are urls in one spelling (``node``):
+scheme and host in lower case, no default port, no dot segments, no fragment. Rules judge a page by
+its url as it is written, and its aliases by their nodes.
+
+Nulls and edges: a null url, or one without ``://``, has an empty host and path, fits no rule and has no
+aliases; null html has no links. A url or html of any length is read whole; a component of any size is
+joined in the components' steps, whose hubs are dealt over tasks. Repeated rows give a row each; an
+empty table stays empty; without rules all is allowed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,27 +45,68 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if text is None else (text, verdict)
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link resolved against its page: absolute, scheme-relative, rooted, or beside the page."""
-    scheme = F.substring_index(url, "://", 1)
-    origin = F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"^([^:]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _lower(c: Column) -> Column:
+    return F.translate(c, ASCII_UPPER, ASCII_LOWER)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root on, its ``.`` and ``..`` resolved."""
+    names = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(names, 2, F.size(names)),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    open_end = F.element_at(names, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))).otherwise(path)
 
 
 def node(url: Column) -> Column:
-    return F.regexp_replace(F.trim(url), "#[\\s\\S]*$", "")
+    """The one spelling of a url: scheme and host in lower case, no default port, no dot segments, no fragment."""
+    plain = F.regexp_replace(F.trim(url), r"#[\s\S]*$", "")
+    part = lambda i: F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*@)?([^/?@]*?)(:[0-9]*)?(/[^?]*)?(\?[\s\S]*)?$", i)
+    scheme, port = _lower(part(1)), part(4)
+    default = (port == ":") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443")
+    path = F.when(part(5) == "", "/").otherwise(_without_dots(part(5)))
+    return F.when(part(1) != "", F.concat(scheme, F.lit("://"), part(2), _lower(part(3)), F.when(default, "").otherwise(port), path, part(6))).otherwise(plain)
+
+
+def absolute(link: Column, base: Column) -> Column:
+    """A link resolved against an address; null for what is no address itself (mailto: and the like)."""
+    link = F.regexp_replace(F.trim(link), r"#[\s\S]*$", "")
+    scheme, whole = F.regexp_extract(base, "^([^:]*)://", 1), F.regexp_replace(base, r"#[\s\S]*$", "")
+    origin = F.regexp_extract(whole, "^([^:]*://[^/?]*)", 1)
+    folder = F.regexp_extract(whole, r"^([^:]*://[^/?]*(?:/[^?]*/|/)?)", 1)
+    return (
+        F.when(link == "", whole)
+        .when(link.rlike(SCHEME), F.when(link.rlike(SCHEME + "//"), link))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(F.substring_index(whole, "?", 1), link))
+        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty without one."""
+    found = lambda i: F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i)
+    return F.regexp_replace(F.concat(found(1), found(2), found(3)), "&amp;", "&")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(from_url, to_url): canonical links and meta refreshes in the pages' html."""
-    tag = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract("html", r"(?i)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'>;\s]+)", 1)
+    tag = lambda pattern: F.regexp_extract("html", pattern, 0)
+    canonical = _attribute(tag(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), "href")
+    content = _attribute(tag(r"(?i)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"), "content")
+    refresh = F.regexp_extract(content, r"(?i)\burl\s*=\s*[\"']?([^\"';\s]+)", 1)
+    home = _attribute(tag(r"(?i)<base\b[^>]*\bhref\b[^>]*>"), "href")
     may = F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh")
-    links = pages.where(may & F.contains("url", F.lit("://"))).select("url", F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
-    return links.select(F.col("url").alias("from_url"), F.regexp_replace(_absolute(F.col("link"), F.col("url")), "&amp;", "&").alias("to_url"))
+    d = pages.where(may & F.contains("url", F.lit("://"))).select("url", home.alias("home"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
+    base = F.when(F.col("home") == "", F.col("url")).otherwise(F.coalesce(absolute(F.col("home"), F.col("url")), F.col("url")))
+    return d.select(F.col("url").alias("from_url"), absolute(F.col("link"), base).alias("to_url")).where("to_url is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
