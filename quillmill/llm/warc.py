@@ -1,17 +1,29 @@
 """WARC archives as a PySpark Python data source (operator 9).
 
 ``spark.read.format("quillwarc")``: one partition per archive file (the writer rolls files, so that a
-partition is bounded), planned from the folder's manifest of committed files. Equality and IN filters
-on ``record_type`` and equality, IN and prefix filters on other header columns are pushed into the
-reader: each record's header block is parsed first, and the block of a record that the predicates
-rule out is skipped, not decoded (option ``payload`` = ``digest`` streams payloads through SHA-1 and
-returns none; ``none`` skips them all). ``df.write.format("quillwarc")`` writes records with one gzip
-member each (or plain, option ``compress`` = ``false``), and commits by a manifest, so a task that was
-lost or run twice leaves no records.
-
-A response holds an HTTP message whose body is the payload; a revisit holds the header only and
-names the response by WARC-Refers-To. Nulls: a null payload is empty; null header fields are left out
-and read back as null. Line breaks in header values are written as spaces.
+partition is bounded; an archive that others wrote is one partition whatever its size), planned from
+the folder's manifests of committed files. Equality and IN filters on ``record_type`` and equality,
+IN and prefix filters on other header columns are pushed into the reader: each record's header block
+is parsed first, and the block of a record that the predicates rule out is not decoded. In plain
+archives it is skipped by a seek, and so it is in the gzip archives written here, whose members name
+their own compressed length in the header's extra field (subfield ``sl``); members without it are
+inflated to their end. Option ``payload`` = ``digest`` streams payloads through SHA-1 and returns none;
+``none`` skips them all.
+
+``df.write.format("quillwarc")`` writes records with one gzip member each (or plain, option
+``compress`` = ``false``). Every write commits by a manifest of its own, so a task that was lost or run
+twice leaves no records, mode ``append`` adds to what stands, and ``overwrite`` replaces it.
+
+A record whose block is shorter than its Content-Length, a cut gzip member and a payload that is not
+that of its SHA-1 header are errors, as is a file that does not start with a record; option ``verify``
+= ``false`` leaves the digest alone (archives of others may digest a payload before its transfer
+coding). A response holds an HTTP message whose body is the payload; a revisit holds the header only
+and names the response by WARC-Refers-To.
+
+Nulls and edges: a null or empty payload has no bytes; null header fields are left out and read back
+as null; line breaks in header values are written as spaces. A payload of any length is one record.
+Rows that repeat are records each. An empty table is an empty archive. Columns that are not of
+``SCHEMA`` are ignored when writing.
 """
 
 from __future__ import annotations
@@ -21,6 +33,8 @@ import datetime
 import hashlib
 import io
 import json
+import re
+import struct
 import uuid
 import zlib
 
@@ -28,19 +42,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import Scratch
+from .common import Scratch, hot_keys, salted_join
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_bytes": "X-Payload-Length"}
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 64_000_000
-MANIFEST = "_committed.json"
+MANIFEST = "_committed-"
 CHUNK = 1 << 16
+HEAD = 1 << 11  # what is inflated at a time where a header is read
+BROADCAST_ROWS = 1_000_000
 
 
 def _fs(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -51,8 +68,25 @@ def digest_header(payload_sha1: bytes) -> str:
 def hex_digest(header: str | None) -> str | None:
     if header is None:
         return None
-    value = header.partition(":")[2] or header
-    return value.lower() if len(value) == 40 else base64.b32decode(value).hex()
+    kind, _, value = header.rpartition(":")
+    if kind.lower() not in ("", "sha1", "sha-1"):
+        return header  # another digest, told as it is
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
+def member(data: bytes) -> bytes:
+    """One gzip member whose extra field holds its own length and that of the data."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    extra = b"sl" + struct.pack("<HII", 8, 24 + len(body) + 8, len(data) & 0xFFFFFFFF)
+    return struct.pack("<4BIBBH", 31, 139, 8, 4, 0, 0, 255, len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(header: bytes) -> int | None:
+    """The length that a member's first bytes name, if they do."""
+    if header[:3] != b"\x1f\x8b\x08" or len(header) < 24 or not header[3] & 4 or header[12:14] != b"sl":
+        return None
+    return struct.unpack("<I", header[16:20])[0]
 
 
 def render(record: dict) -> bytes:
@@ -82,9 +116,8 @@ class _Plain:
 
     def __init__(self, stream):
         self.stream = io.BufferedReader(stream, CHUNK) if not hasattr(stream, "peek") else stream
-
-    def record(self) -> bool:
-        return True
+        self.size = self.stream.seek(0, 2)
+        self.stream.seek(0)
 
     def line(self) -> bytes:
         return self.stream.readline()
@@ -93,7 +126,8 @@ class _Plain:
         return self.stream.read(n)
 
     def skip(self, n: int) -> None:
-        self.stream.seek(n, 1)
+        if self.stream.seek(n, 1) > self.size:
+            raise ValueError("the archive ends within a record")
 
 
 class _Gzip:
@@ -101,22 +135,37 @@ class _Gzip:
 
     def __init__(self, stream):
         self.stream, self.raw, self.z, self.out = stream, b"", None, b""
+        self.at = 0  # where in the file ``raw`` begins
+        self.end = None  # where the member ends, if its header tells
+
+    def _fill(self, n: int) -> bool:
+        while len(self.raw) < n:
+            more = self.stream.read(CHUNK)
+            if not more:
+                return False
+            self.raw += more
+        return True
 
-    def _more(self) -> bool:
-        if not self.raw:
-            self.raw = self.stream.read(CHUNK)
-        if not self.raw:
+    def _more(self, most: int = CHUNK) -> bool:
+        if not self._fill(1):
+            if self.z is not None:
+                raise ValueError("the archive ends within a gzip member")
             return False
         if self.z is None:
+            self._fill(24)
+            n = member_length(self.raw[:24])
+            self.end = None if n is None else self.at + n
             self.z = zlib.decompressobj(31)
-        self.out += self.z.decompress(self.raw, CHUNK)
-        self.raw = self.z.unconsumed_tail
+        before = len(self.raw)
+        self.out += self.z.decompress(self.raw, most)
+        self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        self.at += before - len(self.raw)
         if self.z.eof:
-            self.raw, self.z = self.z.unused_data, None
+            self.z = None
         return True
 
     def line(self) -> bytes:
-        while (k := self.out.find(b"\n")) < 0 and self._more():
+        while (k := self.out.find(b"\n")) < 0 and self._more(HEAD):
             pass
         k = k + 1 if k >= 0 else len(self.out)
         line, self.out = self.out[:k], self.out[k:]
@@ -133,14 +182,21 @@ class _Gzip:
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
+        if self.z is not None and self.end is not None and n > len(self.out):
+            # the rest of the record is the rest of its member: go on behind it
+            if self.end > self.stream.seek(0, 2):
+                raise ValueError("the archive ends within a gzip member")
+            self.stream.seek(self.end)
+            self.raw, self.z, self.out, self.at, self.end = b"", None, b"", self.end, None
+            return
         while n > 0:
             if not self.out and not self._more():
-                return
+                raise ValueError("the archive ends within a record")
             k = min(n, len(self.out))
             self.out, n = self.out[k:], n - k
 
 
-def read_records(stream, compressed: bool, wanted=lambda head: True, payload: str = "full"):
+def read_records(stream, compressed: bool, wanted=lambda head: True, payload: str = "full", verify: bool = True):
     """Yields (head, payload or None) of the records that ``wanted`` accepts by their head alone."""
     source = _Gzip(stream) if compressed else _Plain(stream)
     while True:
@@ -152,12 +208,14 @@ def read_records(stream, compressed: bool, wanted=lambda head: True, payload: st
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not the start of a WARC record: {line[:40]!r}")
         head: dict[str, str] = {}
-        while (line := source.line()) not in (b"\r\n", b"\n", b""):
+        while (line := source.line()) not in (b"\r\n", b"\n"):
+            if not line.endswith(b"\n"):
+                raise ValueError("the archive ends within a record's header")
             name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(":")
             head[name.strip().lower()] = value.strip()
         left = int(head.get("content-length", 0))
         row = {k: head.get(h.lower()) for k, h in HEADERS.items()}
-        row["payload_digest"] = hex_digest(row["payload_digest"])
+        row["payload_digest"] = told = hex_digest(row["payload_digest"])
         row["payload_bytes"] = None if row["payload_bytes"] is None else int(row["payload_bytes"])
         for k in ("record_id", "refers_to"):
             row[k] = row[k] and row[k].removeprefix("<").removesuffix(">")
@@ -171,16 +229,19 @@ def read_records(stream, compressed: bool, wanted=lambda head: True, payload: st
                     left -= len(line)
                     if line in (b"\r\n", b"\n"):
                         break
-            if payload == "digest":
-                sha, n = hashlib.sha1(), 0
-                while left > 0 and (part := source.read(min(left, CHUNK))):
-                    sha.update(part)
-                    n, left = n + len(part), left - len(part)
-                row |= {"payload_bytes": n, "payload_digest": sha.hexdigest()}
-            else:
-                body = source.read(left)
-                left = 0
-                row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest()}
+            sha, n, parts = hashlib.sha1(), 0, []
+            while left > 0:
+                part = source.read(min(left, CHUNK if payload == "digest" else left))
+                if not part:
+                    raise ValueError(f"record {row['record_id']} ends {left} bytes too early")
+                sha.update(part)
+                n, left = n + len(part), left - len(part)
+                if payload == "full":
+                    parts.append(part)
+            if verify and told is not None and ":" not in told and told != sha.hexdigest():
+                raise ValueError(f"the payload of record {row['record_id']} is not that of its digest")
+            row |= {"payload_bytes": n, "payload_digest": sha.hexdigest()}
+            body = b"".join(parts) if payload == "full" else None
         source.skip(left)
         yield row, body
 
@@ -190,9 +251,22 @@ class _Part(InputPartition):
         self.path = path
 
 
+def _manifests(store, root: str) -> list[str]:
+    from pyarrow import fs
+
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        return []
+    return sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.startswith(MANIFEST))
+
+
+def _listed(store, manifest: str) -> list[str]:
+    with store.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: str):
-        self.path, self.payload, self.filters = path, payload, []
+    def __init__(self, path: str, payload: str, verify: bool):
+        self.path, self.payload, self.verify, self.filters = path, payload, verify, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -215,9 +289,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _fs(self.path)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                return [_Part(f"{root}/{x}") for x in json.loads(f.read())]
+        manifests = _manifests(store, root)
+        if manifests:
+            return [_Part(f"{root}/{x}") for m in manifests for x in _listed(store, m)]
         info = store.get_file_info(root)
         if info.type == fs.FileType.File:
             return [_Part(root)]
@@ -229,7 +303,7 @@ class WarcReader(DataSourceReader):
             return
         store, _ = _fs(self.path)
         with store.open_input_file(partition.path) as f:
-            for row, body in read_records(f, partition.path.endswith(".gz"), self._wanted, self.payload):
+            for row, body in read_records(f, partition.path.endswith(".gz"), self._wanted, self.payload, self.verify):
                 yield (row["record_id"], row["record_type"], row["target_uri"], row["warc_date"], row["payload_bytes"], row["payload_digest"], row["refers_to"], body)
 
 
@@ -239,8 +313,8 @@ class _Wrote(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, compress: bool):
-        self.path, self.compress = path, compress
+    def __init__(self, path: str, compress: bool, overwrite: bool):
+        self.path, self.compress, self.overwrite = path, compress, overwrite
 
     def write(self, rows):
         store, root = _fs(self.path)
@@ -252,8 +326,7 @@ class WarcWriter(DataSourceWriter):
                 out, size = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
             data = render(row.asDict())
             if self.compress:
-                z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = z.compress(data) + z.flush()
+                data = member(data)
             out.write(data)
             size += len(data)
             if size >= ROLL_BYTES:
@@ -266,8 +339,15 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages):
         store, root = _fs(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        # the new manifest stands before the old ones go, and their files after them
+        gone = [x for m in before for x in _listed(store, m)]
+        for m in before:
+            store.delete_file(m)
+        for x in gone:
+            store.delete_file(f"{root}/{x}")
 
     def abort(self, messages):
         store, root = _fs(self.path)
@@ -285,37 +365,48 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payload", "full"))
+        return WarcReader(self.options["path"], self.options.get("payload", "full"), self.options.get("verify", "true").lower() != "false")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], self.options.get("compress", "true").lower() != "false")
+        return WarcWriter(self.options["path"], self.options.get("compress", "true").lower() != "false", overwrite)
 
 
-def read_warc(spark, path: str, payload: str = "full") -> DataFrame:
+def read_warc(spark, path: str, payload: str = "full", verify: bool = True) -> DataFrame:
+    """The records of the archives under ``path``. Spark offers a Python reader its filters only where
+    the session's ``spark.sql.python.filterPushdown.enabled`` is set when the query runs, so it is set."""
     if payload not in ("full", "digest", "none"):
         raise ValueError("payload must be full, digest or none")
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # without it Spark offers the reader no filters
-    return spark.read.format("quillwarc").option("payload", payload).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("quillwarc").option("payload", payload).option("verify", str(verify).lower()).load(path)
 
 
-def write_warc(records: DataFrame, path: str, compress: bool = True) -> None:
-    """Writes rows of ``SCHEMA``'s columns; the folder is replaced as a whole by its new manifest."""
+def write_warc(records: DataFrame, path: str, compress: bool = True, mode: str = "append") -> None:
+    """Writes rows of ``SCHEMA``'s columns; mode ``append`` adds to the folder, ``overwrite`` replaces it."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be append or overwrite")
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("quillwarc").option("compress", str(compress).lower()).mode("append").save(path)
+    records.write.format("quillwarc").option("compress", str(compress).lower()).mode(mode).save(path)
 
 
 def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """A WARC record per page: of equal payloads of ``least_bytes`` at least, the largest page_id is
     the response and the others revisit it (rows that repeat that page_id are responses too, and a
-    null page_id revisits or, if alone, responds). Record ids are ``urn:page:<page_id>``.
+    null page_id revisits or, if alone, responds). Record ids are ``urn:page:<page_id>``. Up to
+    ``BROADCAST_ROWS`` groups of copies are broadcast; more are joined by a shuffle of the payloads.
     """
+    scratch = Scratch(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    # the copies' groups by digest: one row each, and only of what repeats
-    digests = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("d"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
-    groups = digests.groupBy("d").agg(F.max("page_id").alias("kept"), F.count("*").alias("k")).where("k > 1").select("d", "kept")
-    joined = rows.join(groups, F.col("d") == F.col("payload_digest"), "left")
+    # the copies' groups by digest: one narrow row each, and only of what repeats
+    digests = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("payload_digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
+    groups = scratch.cut(digests.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("k")).where("k > 1"))
+    kept = groups.select("payload_digest", "kept")
+    if groups.count() <= BROADCAST_ROWS:  # payloads stay where they are read
+        joined = rows.join(F.broadcast(kept), "payload_digest", "left")
+    else:
+        hot = hot_keys(groups, ["payload_digest"], groups.agg(F.sum("k")).first()[0], scratch)
+        joined = salted_join(rows, kept, hot, ["payload_digest"], "page_id", "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     return joined.select(
