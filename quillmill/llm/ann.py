@@ -1,20 +1,28 @@
-"""Approximate nearest neighbours by randomly rotated one-bit codes (operator 6).
-
-Every vector is centred (the mean of a bounded sample of ``SAMPLE`` vectors), scaled to unit length and turned by a seeded random
-rotation P; its code is the packed signs of P'(o - c). With <o', o> kept as a correction scalar, where o' is
-the code's unit vector, <o', q> / <o', o> estimates <o, q> without bias, off by at most
-``EPSILON`` * sqrt((1 - <o', o>^2) / (D - 1)) / <o', o> but for a tiny share of cases. From it and the
-norms follow bounds on each distance. Vectors whose lower bound is not above the k-th smallest upper
-bound are reranked by the exact distance on the original vectors, in double precision.
-
-Vectors are packed into blocks of ``BLOCK``; queries, into blocks of ``QUERY_BLOCK``, are copied to each of the
-shards that data blocks are dealt to, so each pair of blocks meets once in bounded memory and no
-task holds all queries or vectors. A data block gives at most k rows per query; a window keeps the k
-best. Ties go to the smaller vec_id, in a block and over blocks.
+"""Nearest neighbours by randomly rotated one-bit codes in coarse cells (operator 6).
+
+Vectors are dealt into at most ``CELLS`` cells, each to its nearest centre; the centres come from a
+few rounds of k-means on a bounded sample over all rows (``SAMPLE`` vectors, or 16 MB of them). A
+vector's residual from its centre is scaled to unit length and turned by a seeded random rotation P;
+its code is the packed signs of P'(o - c), made once and kept with its norm and the correction scalar
+<o', o>, where o' is the code's unit vector. A query's turned residual is quantised to ``LEVELS`` bits a
+component; bit counts of the codes with its bit planes give <o', q>, and <o', q> / <o', o> estimates
+<o, q> without bias, off by at most ``EPSILON`` * sqrt((1 - <o', o>^2) / (D - 1)) / <o', o> but for a tiny
+share of cases, and by what the quantising lost. From it and the norms follow bounds on each
+distance. Only vectors whose lower bound is not above the k-th smallest upper bound, nor above the
+k-th distance known, are reranked by the exact distance on the original vectors, in double precision.
+
+A query searches its own cell first. What it finds bounds its k-th distance, and of the other cells it
+searches all that can hold a nearer vector, by the triangle inequality on the cells' radii: no vector
+is left out by the cells, and where the data have no clusters all cells are searched. Vectors are
+packed into blocks of one cell and ``BLOCK`` rows, queries into blocks of ``QUERY_BLOCK``; a cell's blocks
+are dealt over shards of ``SHARD`` blocks, so no task holds a cell, however large. A pair of blocks
+gives at most k rows per query; a window keeps the k best. Ties go to the smaller vec_id, in a block
+and over blocks.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or whose vec_id is null, take
-no part; so do vectors of another length than most of the sample. Repeated rows are candidates each,
-but for the query's own id. Extra columns are ignored.
+no part; so do vectors of another length than most have (the shorter, if as many). Repeated rows are
+candidates each, but for the query's own id; a query id that repeats is asked once, by its least
+vector. Extra columns are ignored. An empty side gives no rows; fewer candidates than k give all.
 """
 
 from __future__ import annotations
@@ -24,13 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, copied, salted
 
 K = 10
 BLOCK = 4096
-QUERY_BLOCK = 128
-SAMPLE = 20_000
+QUERY_BLOCK = 512
+SHARD = 32
+CELLS = 256
+CELL_ROWS = 4096
+SAMPLE = 10_000
 EPSILON = 3.5
+LEVELS = 6
 SEED = 20_240_501
 
 
@@ -40,30 +52,48 @@ def rotation(d: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=bool)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1).view(np.uint64)
+
+
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> dict[str, np.ndarray]:
     """Packed sign bits, norms of o - c, and the correction scalars <o', o>."""
     r = vectors - centre
     norm = np.sqrt((r * r).sum(axis=1))
     unit = r / np.where(norm > 0, norm, 1)[:, None] @ turn
-    bits = unit > 0
-    fit = np.where(bits, unit, -unit).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return {"bits": np.packbits(bits, axis=1), "norm": norm, "fit": fit}
+    return {"bits": _words(unit > 0), "norm": norm, "fit": np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])}
 
 
-def bounds(code: dict[str, np.ndarray], queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances, queries x vectors."""
-    d = queries.shape[1]
+def quantise(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> dict[str, np.ndarray]:
+    """The queries' norms, and their turned unit residuals as ``low + step * level`` with bit planes of
+    the levels; ``lost`` is the length of what that leaves out."""
     r = queries - centre
-    qn = np.sqrt((r * r).sum(axis=1))
-    q = r / np.where(qn > 0, qn, 1)[:, None] @ turn
-    # <o', q> from the bits: the sum over set bits counts twice
-    bits = np.unpackbits(code["bits"], axis=1, count=d).astype(np.float32)
-    dot = (2 * (q.astype(np.float32) @ bits.T) - q.sum(axis=1, keepdims=True)) / np.sqrt(d)
+    norm = np.sqrt((r * r).sum(axis=1))
+    unit = r / np.where(norm > 0, norm, 1)[:, None] @ turn
+    low = unit.min(axis=1)
+    step = np.maximum((unit.max(axis=1) - low) / (2**LEVELS - 1), 1e-12)
+    level = np.rint((unit - low[:, None]) / step[:, None]).astype(np.int64)
+    lost = np.sqrt(((unit - low[:, None] - step[:, None] * level) ** 2).sum(axis=1))
+    return {"norm": norm, "low": low, "step": step, "sum": low * unit.shape[1] + step * level.sum(axis=1), "lost": lost, "planes": np.stack([_words((level >> j) & 1 > 0) for j in range(LEVELS)])}
+
+
+def bounds(code: dict[str, np.ndarray], q: dict[str, np.ndarray], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the squared distances, queries x vectors, from bit counts."""
+    held = np.zeros((len(q["norm"]), len(code["norm"])), dtype=np.int32)
+    for j in range(LEVELS):
+        for w in range(code["bits"].shape[1]):
+            held += np.bitwise_count(code["bits"][None, :, w] & q["planes"][j][:, None, w]).astype(np.int32) << j
+    ones = np.bitwise_count(code["bits"]).sum(axis=1)
+    # <o', q>: what the set bits hold counts twice
+    dot = (2 * (q["low"][:, None] * ones + q["step"][:, None] * held) - q["sum"][:, None]) / np.sqrt(d)
     fit = np.where(code["fit"] > 0, code["fit"], 1)
     cosine = dot / fit
-    error = EPSILON * np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / max(d - 1, 1)) + 1e-5
-    base = code["norm"] ** 2 + qn[:, None] ** 2
-    scale = 2 * code["norm"] * qn[:, None]
+    error = EPSILON * np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / max(d - 1, 1)) + q["lost"][:, None] / fit + 1e-6
+    base = code["norm"] ** 2 + q["norm"][:, None] ** 2
+    scale = 2 * code["norm"] * q["norm"][:, None]
     return base - scale * np.minimum(cosine + error, 1), base - scale * np.maximum(cosine - error, -1)
 
 
@@ -72,32 +102,58 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum((a - b) ** 2, axis=1)[:, -1])
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0)
+
+
+def centres_of(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """k-means; the first centres are spread by their distance from those before."""
+    g = np.random.default_rng(SEED)
+    out = sample[[0]]
+    while len(out) < min(cells, len(sample)):
+        far = _squares(sample, out).min(axis=1)
+        if far.sum() <= 0:
+            break
+        out = np.concatenate([out, sample[[g.choice(len(sample), p=far / far.sum())]]])
+    for _ in range(rounds):
+        own = _squares(sample, out).argmin(axis=1)
+        out = np.stack([sample[own == i].mean(axis=0) if (own == i).any() else out[i] for i in range(len(out))])
+    return out
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     ok = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(ok)
 
 
-def _pack(d: int, block: int):
-    def run(batches):
-        import pyarrow as pa
+def _by_cell(d: int, block: int, place, make):
+    """Deals a task's rows into cells and gives blocks of one cell, at most ``block`` rows each, and
+    holds no more than 16 blocks. ``place(ids, vectors, batch)`` yields (cell, row numbers)."""
 
-        ids, rows, n = [], [], 0
+    def run(batches):
+        held: dict[int, list] = {}
+        rows = 0
 
-        def out():
-            i, v = np.concatenate(ids), np.concatenate(rows)
-            for k in range(0, len(i), block):
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([i[k : k + block].tobytes()], pa.binary()), "vectors": pa.array([v[k : k + block].tobytes()], pa.binary())})
+        def flush(cell):
+            parts = held.pop(cell)
+            whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            for i in range(0, len(whole[0]), block):
+                yield make(cell, *(x[i : i + block] for x in whole))
 
         for batch in batches:
-            if batch.num_rows:
-                ids.append(batch.column("vec_id").to_numpy())
-                rows.append(batch.column("embedding").flatten().to_numpy().reshape(-1, d))
-                n += batch.num_rows
-            if n >= block:
-                yield from out()
-                ids, rows, n = [], [], 0
-        if n:
-            yield from out()
+            if not batch.num_rows:
+                continue
+            ids, v = batch.column("vec_id").to_numpy(), batch.column("embedding").flatten().to_numpy().reshape(-1, d)
+            limit = batch.column("bound").to_numpy(zero_copy_only=False) if "bound" in batch.schema.names else np.full(len(ids), np.inf)
+            for cell, at in place(ids, v, limit):
+                held.setdefault(cell, []).append((ids[at], v[at], limit[at]))
+                rows += len(at)
+            while rows > 16 * block:
+                most = max(held, key=lambda c: sum(len(p[0]) for p in held[c]))
+                rows -= sum(len(p[0]) for p in held[most])
+                yield from flush(most)
+        for cell in sorted(held):
+            yield from flush(cell)
 
     return run
 
@@ -106,43 +162,92 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` to each row of ``queries``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    out_schema = "query_id long, vec_id long, score double"
     usable, asked = _usable(vectors), _usable(queries)
-    sample = usable.select("embedding").limit(SAMPLE)
-    sizes = sample.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    sizes = usable.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = int(sizes.d)
+    d, n = int(sizes.d), int(sizes.n)
     usable, asked = usable.where(F.size("embedding") == d), asked.where(F.size("embedding") == d)
-    mean = sample.where(F.size("embedding") == d).select(F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(d)]).alias("m")).first().m
-    centre, turn = np.array(mean, dtype=np.float64), rotation(d)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = usable.mapInArrow(_pack(d, BLOCK), "ids binary, vectors binary").select("ids", "vectors", F.pmod(F.xxhash64("ids"), F.lit(shards)).alias("shard"))
-    # few blocks of queries, so that they are packed by range before they are copied
-    asked = asked.repartition(max(1, shards // 4), F.pmod("vec_id", F.lit(100 * shards)))
-    asks = scratch.cut(asked.mapInArrow(_pack(d, QUERY_BLOCK), "ids binary, vectors binary").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
-    pairs = data.join(asks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")), "shard").select("ids", "vectors", "q_ids", "q_vectors")
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    most = max(1, min(SAMPLE, 16_000_000 // (8 * d)))
+    sample = usable.select("embedding")
+    sample = (sample if n <= most else sample.sample(False, most / n, SEED)).limit(2 * most).collect() or usable.select("embedding").limit(1).collect()
+    centres = centres_of(np.array([r.embedding for r in sample], dtype=np.float64), max(1, min(CELLS, n // CELL_ROWS)))
+    turn = rotation(d)
+
+    def own(ids, v, limit):
+        cell = _squares(v, centres).argmin(axis=1)
+        for c in np.unique(cell):
+            yield int(c), np.flatnonzero(cell == c)
+
+    def coded(cell, ids, v, limit):
+        import pyarrow as pa
+
+        code = encode(v, centres[cell], turn)
+        radius = float(np.sqrt(((v - centres[cell]) ** 2).sum(axis=1)).max())
+        return pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "radius": [radius], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary()), **{x: pa.array([code[x].tobytes()], pa.binary()) for x in ("bits", "norm", "fit")}})
+
+    data = scratch.cut(usable.mapInArrow(_by_cell(d, BLOCK, own, coded), "cell int, radius double, ids binary, vectors binary, bits binary, norm binary, fit binary"))
+    # one row a cell: CELLS at most
+    cells = data.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("k"))
+    parts = scratch.cut(cells.select("cell", F.ceil(F.col("k") / SHARD).cast("int").alias("parts"), "radius"))
+    radius = np.full(len(centres), -np.inf)
+    for r in parts.collect():
+        radius[r.cell] = r.radius
+    shards = parts.select("cell", "parts")
+    dealt = salted(data.drop("radius"), shards, ["cell"], "ids")
+
+    def elsewhere(ids, v, limit):
+        far = np.sqrt(_squares(v, centres))
+        may = far - radius <= limit[:, None] * (1 + 1e-9) + 1e-9
+        may[np.arange(len(v)), _squares(v, centres).argmin(axis=1)] = False
+        for c in np.flatnonzero(may.any(axis=0)):
+            yield int(c), np.flatnonzero(may[:, c])
+
+    def bare(cell, ids, v, limit):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vectors": pa.array([v.tobytes()], pa.binary()), "q_bound": pa.array([limit.astype(np.float64).tobytes()], pa.binary())})
 
     def search(batches):
         import pyarrow as pa
 
+        columns = ("cell", "ids", "vectors", "bits", "norm", "fit", "q_ids", "q_vectors", "q_bound")
         for batch in batches:
-            for ids, vectors, q_ids, queries in zip(*[batch.column(c).to_pylist() for c in ("ids", "vectors", "q_ids", "q_vectors")], strict=True):
-                ids, q_ids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
-                v, q = np.frombuffer(vectors).reshape(-1, d), np.frombuffer(queries).reshape(-1, d)
-                low, high = bounds(encode(v, centre, turn), q, centre, turn)
-                own = ids[None, :] == q_ids[:, None]
-                high[own], low[own] = np.inf, np.inf
+            for cell, ids, v, bits, norm, fit, q_ids, q, limit in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+                ids, q_ids, limit = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(limit)
+                v, q = np.frombuffer(v).reshape(-1, d), np.frombuffer(q).reshape(-1, d)
+                code = {"bits": np.frombuffer(bits, dtype=np.uint64).reshape(len(ids), -1), "norm": np.frombuffer(norm), "fit": np.frombuffer(fit)}
                 found = []
-                for i in range(len(q_ids)):
-                    n = min(k, len(ids)) - 1
-                    at = np.flatnonzero((low[i] <= np.partition(high[i], n)[n]) & ~own[i])
-                    score = exact(v[at], q[i][None, :])
-                    best = np.lexsort((ids[at], score))[:k]
-                    found.append((np.full(len(best), q_ids[i]), ids[at][best], score[best]))
+                for i in range(0, len(q_ids), 64):
+                    low, high = bounds(code, quantise(q[i : i + 64], centres[cell], turn), d)
+                    same = ids[None, :] == q_ids[i : i + 64, None]
+                    high[same] = np.inf
+                    m = min(k, len(ids)) - 1
+                    kth = np.minimum(np.partition(high, m, axis=1)[:, m], limit[i : i + 64] ** 2 * (1 + 1e-9) + 1e-9)
+                    for j in range(len(low)):
+                        at = np.flatnonzero((low[j] <= kth[j]) & ~same[j])
+                        score = exact(v[at], q[i + j][None, :])
+                        best = np.lexsort((ids[at], score))[:k]
+                        best = best[score[best] <= limit[i + j]]
+                        found.append((np.full(len(best), q_ids[i + j]), ids[at][best], score[best]))
                 if found:
                     yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    part = pairs.mapInArrow(search, out_schema)
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(rows: DataFrame, place) -> DataFrame:
+        asks = scratch.cut(rows.mapInArrow(_by_cell(d, QUERY_BLOCK, place, bare), "cell int, q_ids binary, q_vectors binary, q_bound binary"))
+        pairs = dealt.join(copied(asks, shards, ["cell"]), ["cell", "salt"]).select("cell", "ids", "vectors", "bits", "norm", "fit", "q_ids", "q_vectors", "q_bound")
+        return pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+
+    def best(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # few rows make few blocks
+    asked = asked.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    first = scratch.cut(best(met(asked, own)))
+    if len(centres) == 1:
+        return first
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = asked.join(bound, "vec_id", "left").select("vec_id", "embedding", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    return best(first.select("query_id", "vec_id", "score").unionByName(met(bounded, elsewhere)))
