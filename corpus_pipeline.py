@@ -3,6 +3,9 @@
 Counted as part of the subpackage llm. Each stage takes (spark, docs, sf_dir) and returns a
 DataFrame; ``run`` writes each stage's result as Parquet in the shared folder and reads it back as
 the next stage's documents. All stages but the last return the columns of ``documents``.
+
+A null or empty text goes with the first stage, as it is in no language; an empty table stays empty
+through all stages. Texts of any length are read whole. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import decontaminate, jaccard_join, language_id, pieces, pseudonyms
 from quillmill.llm.common import Scratch, table
-from quillmill.llm.queries import vocabulary
+from quillmill.llm.queries import pseudonym_key, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,11 +28,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; a row without an id stays as it is."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    kept = docs.select(*COLUMNS).where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """The document of the smallest id of each group stays.
+
+    Rows that repeat an id are one document: equal rows become one, different texts under one id all
+    stay or go together. A row without an id stays as it is.
+    """
+    scratch = Scratch(spark, "near_duplicates")
+    docs = docs.select(*COLUMNS)
+    gone = scratch.cut(jaccard_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id"))
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    twice = scratch.cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(*COLUMNS)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).distinct())
 
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +52,8 @@ def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymize(docs.select(*COLUMNS))
+    """Personal data are replaced under the session's key (``pseudonym_key``)."""
+    out = pseudonyms.pseudonymize(docs.select(*COLUMNS), pseudonym_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

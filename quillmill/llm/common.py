@@ -153,6 +153,23 @@ def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None =
     return out
 
 
+def with_results(docs: DataFrame, keep: list[str], text: str, run, results: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those of ``results`` (a schema), by an Arrow function.
+
+    ``run`` gets batches (row, text), row being the kept columns as one struct so that no name can
+    clash, and yields batches of row and the results. A kept column named as a result is replaced.
+    """
+    from pyspark.sql import types as T
+
+    fields = T.StructType.fromDDL(results).fields
+    keep = [c for c in keep if c not in [f.name for f in fields]]
+    row = T.StructType([docs.schema[c] for c in keep])
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("none")).alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([T.StructField("row", row if keep else given.schema["row"].dataType), *fields])
+    out = given.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], *[f.name for f in fields])
+
+
 def slices(column, most_bytes: int = 2_000_000):
     """(start, stop) runs of an Arrow string column of at most that many bytes each, one row at least."""
     import numpy as np

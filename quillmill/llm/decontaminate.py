@@ -2,11 +2,12 @@
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters after lower-casing A-Z. A
 window is ``width`` consecutive words of a benchmark item, or all words of a shorter one. The windows'
-64-bit hashes are a broadcast hash set of ``SET_ROWS`` at most, and so are their anchors (a window's
-longest word); a larger benchmark is dealt by hash into several such sets, and the documents are
-scanned once for each. A scan explodes a document's words within its task: where a word is some
-window's anchor, the windows that could hold it there are hashed and looked up. What is found is
-verified word by word against the windows' text, then items and covered words are counted.
+64-bit hashes are a broadcast hash set of ``SET_ROWS`` at most; a larger benchmark is dealt by hash into
+several such sets, and the documents are scanned once for each. A document's words are scanned in its
+row: where a word may be some window's anchor (its longest word), the windows that could hold it there
+are hashed; what may be in the set by a bitmap of ``BITMAP_BYTES`` at most leaves the row and is looked
+up. What is found is verified word by word against the windows' text, then items and covered words
+are counted.
 
 Null, empty and wordless texts have no words, no hits and no items; so have null, empty and wordless
 items, and all documents where the benchmark is empty. A text of any length is scanned whole. Rows
@@ -28,6 +29,7 @@ WORD_CHARACTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
 SET_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
+BITMAP_BYTES = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -50,24 +52,42 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return w.select("item_id", "n", F.array_join("w", " ").alias("window"), _hash(F.col("w"), F.lit(0), F.col("n")).alias("hash"), F.xxhash64(anchor).alias("anchor")).distinct()
 
 
-def _candidates(lengths: list[int]) -> Column:
-    """The (s, n) of all windows that could hold the word at ``at``, and (-1, 0) once for each document."""
-    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("n"))))
-    of = lambda n: F.transform(F.filter(F.sequence(F.col("at") - (n - 1), F.col("at")), lambda s: (s >= 0) & (s + n <= F.size("w"))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
-    none = F.array().cast("array<struct<s:int,n:int>>")
-    return F.concat(F.coalesce(first, none), F.when(F.col("is_anchor"), F.concat(*[of(n) for n in lengths])).otherwise(none))
+def _bitmap(hashes: DataFrame, column: str, n: int) -> Column:
+    """A test whether a hash may be one of ``n`` hashes: bits of a literal of ``BITMAP_BYTES`` at most."""
+    size = min(BITMAP_BYTES, 1 << max(6, (2 * n - 1).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(8 * size - 1))
+    rows = hashes.groupBy(F.floor(at / 8).cast("int").alias("i")).agg(F.expr(f"bit_or(shiftleft(1, cast({column} & 7 as int)))").alias("byte")).collect()
+    table = bytearray(size)
+    for r in rows:
+        table[r.i] = r.byte
+    literal = F.lit(bytes(table))
+
+    def may(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit(8 * size - 1)).cast("int")
+        byte = F.ascii(F.decode(F.substr(literal, F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+        return F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1
+
+    return may
 
 
 def scan(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
     """(key, n_words, s, n, hash, window): the windows of ``rows`` (key, w) whose hash is that of one of
     ``found``, and one row with s = -1 for every row."""
-    anchors = F.broadcast(found.select("anchor").distinct().withColumn("is_anchor", F.lit(True)))
-    hashes = F.broadcast(found.select("hash").distinct().withColumn("is_hash", F.lit(True)))
-    at = rows.select("key", "w", F.posexplode_outer("w").alias("at", "word"))
-    at = at.withColumn("anchor", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).join(anchors, "anchor", "left").where("is_anchor or coalesce(at, 0) = 0")
-    c = at.select("key", "w", F.inline(_candidates(lengths)))
-    c = c.withColumn("hash", F.when(F.col("s") >= 0, _hash(F.col("w"), F.col("s"), F.col("n")))).join(hashes, "hash", "left").where("is_hash or s = -1")
-    return c.select("key", F.size("w").alias("n_words"), "s", "n", "hash", F.when(F.col("s") >= 0, F.array_join(F.slice("w", F.col("s") + 1, F.col("n")), " ")).alias("window"))
+    hashes = found.select("hash").distinct()
+    n = hashes.count()
+    anchor, known = _bitmap(found, "anchor", n), _bitmap(found, "hash", n)
+    at = F.array_compact(F.transform("w", lambda x, i: F.when(anchor(F.xxhash64(x)), i)))
+
+    def of(n):
+        starts = lambda p: F.filter(F.sequence(p - (n - 1), p), lambda s: (s >= 0) & (s + n <= F.size("w")) & known(_hash(F.col("w"), s, F.lit(n))))
+        return F.transform(F.array_distinct(F.flatten(F.transform(F.col("at"), starts))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+
+    one = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("window")))
+    windows = F.transform(F.concat(*[of(n) for n in lengths]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), _hash(F.col("w"), x["s"], x["n"]).alias("hash"), F.array_join(F.slice("w", x["s"] + 1, x["n"]), " ").alias("window")))
+    # only what may be a hit leaves the row
+    c = rows.withColumn("at", at).select("key", F.size("w").alias("n_words"), F.when(F.size("at") > 0, F.concat(one, windows)).otherwise(one).alias("c"))
+    c = c.select("key", "n_words", F.inline("c"))
+    return c.join(F.broadcast(hashes.withColumn("is_hash", F.lit(True))), "hash", "left").where("is_hash or s = -1").select("key", "n_words", "s", "n", "hash", "window")
 
 
 def _key(docs: DataFrame) -> Column:
@@ -134,9 +154,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         return keyed.join(few(hit.select("h1", "h2")), ["h1", "h2"], "left_anti").select("row.*")
     text = F.col("row.text")
-    word = F.filter(F.split(text, SEPARATORS_ANY_CASE), lambda w: w != "")
-    gap = F.split(text, WORD_CHARACTERS)
-    kept = F.transform(word, lambda w, i: F.when(F.array_contains("hit_words", i), "").otherwise(F.concat(w, F.get(gap, i + 1))))
-    cut = F.when(F.col("hit_words").isNull(), text).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(kept, "")))
-    out = keyed.join(hit, ["h1", "h2"], "left").withColumn("cut", cut)
+    out = keyed.join(hit, ["h1", "h2"], "left").withColumns({"word": F.filter(F.split(text, SEPARATORS_ANY_CASE), lambda w: w != ""), "gap": F.split(text, WORD_CHARACTERS)})
+    left = F.array_except(F.sequence(F.lit(0), F.size("word") - 1), "hit_words")
+    kept = F.transform(left, lambda i: F.concat(F.get("word", i), F.get("gap", i + 1)))
+    out = out.withColumn("cut", F.when(F.col("hit_words").isNull(), text).otherwise(F.concat(F.get("gap", F.lit(0)), F.array_join(kept, ""))))
     return out.select(*[F.col("cut").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

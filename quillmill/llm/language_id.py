@@ -16,9 +16,10 @@ language of fewer than ``KEPT_OUT`` texts is learned from all of them. More than
 languages are an error, not cut. Every text is predicted whole: a task scores each distinct word once
 while its word table lasts, and sums.
 
-A null text, or one without letters, is ``und`` with score 0 and rejected. Without any labelled row
-every text is. Ties go to the language that sorts first. Extra columns are ignored; rows that repeat
-are answered each.
+A null or empty text, or one without letters, is ``und`` with score 0 and rejected. Without any
+labelled row every text is. Ties go to the language that sorts first. Texts of any length are read
+whole. Rows that repeat are answered each; an empty table stays empty. Extra columns are ignored or
+kept, as asked; a kept column named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, with_results
 from .shingles import U, _powers, mix
 
 ORDER = 5
@@ -243,9 +244,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
         raise ValueError(f"more than {LANGUAGES} languages are labelled; none may be left out")
     rows = max(KEPT_OUT, min(rows, rows * FULL_LANGUAGES // len(languages)))
     usable = sized.where(~F.col("long") | F.col("lang").isin([r.lang for r in languages if r.long]))
-    # the distinct texts of the least hash: ranked by hash alone, so that no task gathers a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = usable.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "h")
+    # the distinct texts of the least hash: of each language's ranges of hashes first, so that no task gathers a language
+    least = lambda d, *by: d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("rank") <= rows).drop("rank")
+    ranged = usable.select("lang", "h", F.shiftright("h", 58).alias("range")).distinct()
+    chosen = least(least(ranged, "lang", "range"), "lang").select("lang", "h")
     letters = F.substring(F.trim(F.regexp_replace("text", r"\P{L}+", " ")), 1, TEXT_CHARS)
     sample = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max(F.when(F.col("long"), letters).otherwise(F.col("text"))).alias("text"))
 
@@ -279,13 +281,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     return model
 
 
+RESULTS = "lang_pred string, score double, cross_entropy double, accepted boolean"
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` with lang_pred, score, cross_entropy and accepted."""
-    from pyspark.sql import types as T
-
-    keep = docs.columns if keep is None else keep
-    keep = [c for c in keep if c not in ("lang_pred", "score", "cross_entropy", "accepted")]
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -293,14 +293,14 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
 
         known = Known()
         for batch in batches:
-            column = batch.column("_text").fill_null("").cast(pa.large_string())
+            column = batch.column("text").fill_null("").cast(pa.large_string())
             for i, j in slices(column):
                 texts = column.slice(i, j - i).to_pylist()
                 got = shared.value.predict(texts, known) if shared.value else [("und", 0.0, None, False)] * len(texts)
                 p, s, c, a = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in keep), pa.array(p, pa.string()), pa.array(s, pa.float64()), pa.array(c, pa.float64()), pa.array(a, pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(p, pa.string()), pa.array(s, pa.float64()), pa.array(c, pa.float64()), pa.array(a, pa.bool_())], names=["row", "lang_pred", "score", "cross_entropy", "accepted"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return with_results(docs, docs.columns if keep is None else keep, text, run, RESULTS)
 
 
 def remainder(column: Column, divisor: int) -> Column:

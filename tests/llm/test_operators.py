@@ -1,5 +1,6 @@
 """Each operator against a plain version, and on nulls, empties, repeats and clashing columns."""
 
+import datetime
 import gzip
 import hashlib
 import io
@@ -81,6 +82,62 @@ def test_every_labelled_language_is_learned(spark, monkeypatch):
         language_id.fit(d)
 
 
+def plain_kneser_ney(texts, order=language_id.ORDER):
+    """(log probability of a marked word) by dictionaries: counts, continuations, discounts by order."""
+    from collections import Counter, defaultdict
+
+    marked = lambda w: ["^"] * (order - 1) + list(w) + ["$"]
+    words = [marked(w.lower()) for t in texts for w in re.findall(r"[^\W\d_]+", t)]
+    levels = {order: Counter(tuple(w[i - order + 1 : i + 1]) for w in words for i in range(order - 1, len(w)))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discount, total, kinds = {}, defaultdict(int), defaultdict(int)
+    for k, level in levels.items():
+        one, two = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+        discount[k] = min(0.95, max(0.1, one / max(one + 2 * two, 1)))
+        for g, c in level.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        if not g:
+            return 1 / language_id.UNSEEN
+        below = p(g[1:])
+        if not total[g[:-1]]:
+            return below
+        k = len(g)
+        return max(levels[k][g] - discount[k], 0) / total[g[:-1]] + discount[k] * kinds[g[:-1]] / total[g[:-1]] * below
+
+    def score(word):
+        m = marked(word.lower())
+        return sum(np.log(p(tuple(m[i - order + 1 : i + 1]))) for i in range(order - 1, len(m)))
+
+    return score
+
+
+def test_models_match_a_plain_version():
+    learned = {"a": ["abab abc cab Über", "ab ab cabbage"], "b": ["xyz xxy yyx zzz", "xyzzy"]}
+    model = language_id.Model({k: language_id.count_language(t) for k, t in learned.items()})
+    plain = {k: plain_kneser_ney(t) for k, t in learned.items()}
+    for text in ["abab", "xyz", "abx über", "q", "Cabbage, xyzzy! 12 zzzzzzzzzz", "я"]:
+        words = re.findall(r"[^\W\d_]+", text)
+        n = sum(len(w) + 1 for w in words)
+        ce, _, _ = model.cross_entropies([text])
+        for j, k in enumerate(model.languages):
+            assert abs(ce[0, j] + sum(plain[k](w) for w in words) / n) < 1e-4, (text, k)
+        best = min(learned, key=lambda k: (-sum(plain[k](w) for w in words) / n, k))
+        assert model.predict([text])[0][0] == best
+
+
+def test_clashing_names_and_repeats_of_language(spark):
+    d = spark.createDataFrame([(1, "der die das und", "a", "b", "c", 5.0)] * 2 + [(2, None, "a", "b", "c", 5.0)], "doc_id long, text string, _text string, row string, lang_pred string, score double")
+    model = language_id.fit(spark.createDataFrame([("der die das und", "de"), ("the and of which", "en")], "text string, lang string"))
+    got = language_id.identify(d, model).orderBy("doc_id").collect()
+    assert [(x.doc_id, x._text, x.row, x.lang_pred) for x in got] == [(1, "a", "b", "de")] * 2 + [(2, "a", "b", "und")]
+    assert language_id.identify(d.where("false"), model).count() == 0
+    assert language_id.identify(d.select("text"), model, keep=[]).count() == 3
+
+
 def test_kneser_ney_is_a_distribution():
     counts = {"a": language_id.count_language(["abab abc cab"]), "b": language_id.count_language(["xyz xxy"])}
     m = language_id.Model(counts)
@@ -123,6 +180,67 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, ["x"]), none, ["doc_id"]).first().score < 0.01
 
 
+def test_phrases_are_learned_as_exceptions(spark):
+    r = random.Random(11)
+    clean = "this that house tree water going window garden stone river".split()
+    rows, labels = [], []
+    for i in range(300):
+        t = [f"{r.choice(clean)}{r.choice(clean)}" for _ in range(30)]
+        if i % 3 == 0:
+            t[5:6] = ["total", "blork"]
+        elif i % 3 == 1 and i < 22:
+            t[5:6] = ["water", "blork", "pump"]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 3 == 0)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.fit(d, y)
+    assert lexicon.entries["water  blork "] == 0.0 and any(v > 0 and "blork".startswith(k.strip()) for k, v in lexicon.entries.items())
+    for text, hits in [("total blork pump", 1), ("water blork pump", 0), ("a water blork", 0), ("blork water", 1), ("water blorks", 1)]:
+        assert (lexicon.matched(text)[0] > 0) == bool(hits), text
+
+
+def test_short_words_long_texts_and_copies_are_learned(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = [(i, " ".join([*(word() for _ in range(20)), *(["zx"] if i % 2 else [])])) for i in range(60)]
+    rows += [(100 + i, rows[1][1]) for i in range(40)]  # one toxic text forty times more
+    rows += [(200 + i, ("qwertz " if i % 2 else "") + "word " * 30_000 + word()) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1 if 100 <= i < 200 else i % 2) for i, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit(d, y)
+    assert {"zx ", "qwer"} <= {k for k, v in lexicon.entries.items() if v > 0} or "qwertz" in lexicon.entries and "zx " in lexicon.entries
+    assert all(k.strip() in ("zx", "qwer", "qwert", "qwertz") for k, v in lexicon.entries.items() if v > 0)
+
+
+def brute_matches(text, entries):
+    """Weights of the longest entries from left to right, by plain search."""
+    words = "".join(f" {w} " for w in toxicity.fold(text).split())
+    total, at = 0.0, 0
+    while at < len(words):
+        found = max((k for k in entries if words.startswith(" " + k, at)), key=len, default=None)
+        if found is None:
+            at += 1
+        else:
+            total, at = total + entries[found], at + 1 + len(found)
+    return total
+
+
+def test_scores_match_a_plain_version(spark):
+    r = random.Random(13)
+    entries = {"moron": 2.0, "moron ": 1.0, "scum": 3.0, "scumble": 0.0, "pond  scum ": 0.0, "ab ": 1.5, "clown": 1.0, "clown  fish ": 0.0, "мат ": 1.0}
+    lexicon = toxicity.Lexicon(entries, (-3.0, 2.0, 1.0))
+    words = ["moron", "m0r0n", "MORONS", "scum", "scumbled", "pond", "ab", "abc", "clown", "fish", "сlоwn", "x", "mat", "5cum"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 12))) for _ in range(200)] + [None, "", "!!", "scum " * 50_000]
+    got = toxicity.toxicity(spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, score string, row string"), lexicon, ["doc_id", "score", "row", "text"]).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        t = texts[x.doc_id] or ""
+        total, n = brute_matches(t, entries) if len(t) < 1000 else 150_000.0, len(toxicity.fold(t).split())
+        assert (x.weight, x.words, x.row, x.text) == (total, n, "b", texts[x.doc_id])
+        z = -3 + 2 * np.log1p(total) / np.log(n + 2) + np.log1p(100 * total / max(n, 1))
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_exceptions_silence_entries():
     lexicon = toxicity.Lexicon({"scum": 3.0, "scumble": 0.0}, (-3.0, 2.0, 0.0))
     assert lexicon.matched("scumble scums scum")[0] == 6.0
@@ -186,6 +304,24 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(d.where("false")).count() == 0
 
 
+def test_jaccard_ids_that_stand_for_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    d = spark.createDataFrame([(9, a, "x"), (9, b, "x"), (9, b, "x"), (5, b, "x"), (4, a + " z", "x"), (8, c, "x"), (8, c, "x"), (3, "w " * 100_000 + c, "x")], "doc_id long, text string, rep string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(d).collect()}
+    assert got == {9: (26, 4), 5: (26, 4), 4: (27, 4), 8: (26, 8), 3: (31, 3)}
+
+
+@pytest.mark.parametrize("open_", [0, jaccard_join.OPEN])
+def test_jaccard_of_one_shared_passage(spark, monkeypatch, open_):
+    # hundreds of sets hold a passage that is most of each; some pairs link, most do not
+    monkeypatch.setattr(jaccard_join, "OPEN", open_)
+    r = random.Random(14)
+    passage = [f"p{k}" for k in range(70)]
+    texts = [" ".join(passage + [f"u{r.randrange(40)}" for _ in range(r.choice([6, 9, 12, 16, 20]))]) for _ in range(150)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute_jaccard(enumerate(texts))
+
+
 def brute_links(rows):
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := low(t).split()) >= 5 else {tuple(w)} - {()} for i, t in rows}
     close = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
@@ -245,6 +381,21 @@ def test_contamination(spark, monkeypatch, limit):
     assert empty.where("contaminated").count() == 0 and empty.count() == len(texts)
 
 
+def test_contamination_edges(spark):
+    item = "one two three four five six seven eight nine ten"
+    b = spark.createDataFrame([(1, item, "c"), (None, item, "c"), (2, None, "c"), (3, "", "c")], "item_id long, text string, key string")
+    long = "word " * 200_000 + item + " word" * 1000
+    rows = [(1, long), (1, long), (1, "clean"), (None, item), (None, None), (2, "")]
+    d = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], "doc_id long, text string, hit_words string, key string, row string, _h string")
+    got = sorted((x.doc_id or 0, x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination(d, b).collect())
+    assert got == [(0, 0, 0, 0), (0, 10, 10, 1), (1, 1, 0, 0), (1, 201_010, 10, 1), (1, 201_010, 10, 1), (2, 0, 0, 0)]
+    kept = decontaminate.decontaminate(d, b).collect()
+    assert sorted((x.doc_id or 0, x.text or "", x.hit_words, x.key, x.row, x._h) for x in kept) == [(0, "", "a", "b", "c", "d"), (1, "clean", "a", "b", "c", "d"), (2, "", "a", "b", "c", "d")]
+    cut = decontaminate.decontaminate(d, b, "spans")
+    assert cut.columns == d.columns and {len(x.text) for x in cut.where("doc_id = 1").collect()} == {5, len(long) - len(item) - 1}
+    assert decontaminate.decontaminate(d.where("false"), b).count() == 0
+
+
 # --- 5 ---
 
 
@@ -252,22 +403,47 @@ def test_contamination(spark, monkeypatch, limit):
 def test_token_counts(spark, rule):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     coding, _ = token_counts.encoder(path)
-    texts = ["one line", "two\nlines here\n", "\n\n\n", "héllo\n日本語 😀\r\n x", "", None, "a " * 3000]
+    texts = ["one line", "two\nlines here\n", "\n\n\n", "héllo\n日本語 😀\r\n x", "", None, "a " * 30_000, "𝔘𝔫𝔦\n𝔠\n", "two\nlines here\n"]
+
+    def touched(t):  # each token with the characters it holds a byte of
+        of = [i for i, c in enumerate(t) for _ in c.encode()]
+        at = 0
+        for x in coding.encode_ordinary(t):
+            n = len(coding.decode_single_token_bytes(x))
+            yield x, list(range(of[at], of[at + n - 1] + 1))
+            at += n
+
+    def want(t, sections):
+        out, outside = [0] * len(sections), 0
+        owner = {c: i for i, (a, b) in enumerate(sections) for c in range(a, b)}
+        for _, characters in touched(t):
+            owners = [owner.get(c, -1) for c in characters]
+            held = [o for o in owners if o >= 0]
+            pick = owners[0] if rule == "first" else owners[-1] if rule == "last" else max(sorted(set(held)), key=held.count) if held else -1
+            if pick < 0:
+                outside += 1
+            else:
+                out[pick] += 1
+        return out, outside
+
     for x in token_counts.section_counts(docs(spark, texts), path, rule).collect():
         t = texts[x.doc_id] or ""
+        lines, at = [], 0
+        for line in t.splitlines(keepends=True) if "\r" not in t else [p + "\n" for p in t.split("\n")[:-1]] + [t.split("\n")[-1]]:
+            lines.append((at, at + len(line)))
+            at += len(line)
         ids = coding.encode_ordinary(t)
-        lines = t.split("\n")
-        bounds = np.cumsum([len((s + "\n").encode()) for s in lines[:-1]] + ([len(lines[-1].encode())] if lines[-1] else []))
-        want, at = [0] * len(bounds), 0
-        for i in ids:
-            n = len(coding.decode_single_token_bytes(i))
-            owners = [int(np.searchsorted(bounds, k, side="right")) for k in range(at, at + n)]
-            want[owners[0] if rule == "first" else owners[-1] if rule == "last" else max(sorted(set(owners)), key=owners.count)] += 1
-            at += n
-        assert (x.n_tokens, x.n_sections, x.section_tokens) == (len(ids), len(bounds), want)
+        assert (x.n_tokens, x.n_sections, (x.section_tokens, x.n_outside)) == (len(ids), len(lines), want(t, lines))
         assert x.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+    for x in token_counts.token_spans(docs(spark, texts[:6]), path).collect():
+        assert [(i, list(range(a, b))) for i, a, b in zip(x.ids, x.start, x.end, strict=True)] == list(touched(texts[x.doc_id] or ""))
+    given = [[(0, 2), (4, 6)], [(1, 5), (5, 9)], None, [(0, 1), (6, 8), (8, 9)], [(0, 0)], [], [(3, 40_000)], [(1, 2)], [(2, 3)]]
+    d = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, given, strict=True))], "doc_id long, text string, parts array<struct<start:int,end:int>>")
+    for x in token_counts.section_counts(d, path, rule, sections="parts").collect():
+        assert (x.section_tokens, x.n_outside) == want(texts[x.doc_id] or "", given[x.doc_id] or [])
     fields = token_counts.field_counts(docs(spark, ["abc", None]), ["text", "lang"], path, rule).groupBy("field").agg(F.sum("n_tokens")).collect()
     assert {x.field for x in fields} == {"text", "lang"}
+    assert token_counts.section_counts(docs(spark, []), path).count() == 0
     with pytest.raises(ValueError):
         token_counts.section_counts(docs(spark, []), path, "none")
 
@@ -582,9 +758,78 @@ def test_pseudonyms(spark):
     assert days[1] == "2020-02-30" and days[2] == ".".join(reversed(iso)) and days[3] == "/".join(iso) and days[0] != "2020-02-29"
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[5].text) and out[5].text != texts[5]
     assert [out[i].text for i in (6, 7, 8, 9)] == texts[6:]
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymize(docs(spark, texts), "")
     assert pseudonyms.pseudonymize(docs(spark, texts), "other").where("doc_id = 0").first().text != out[0].text
 
 
+def brute_digits(key, tweak, d):
+    h = len(d) // 2
+    left, right = brute_feistel(key, tweak, int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h))
+    return f"{left:0{h}d}{right:0{len(d) - h}d}"
+
+
+def brute_pseudonym(key, kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    sha = lambda *x: hashlib.sha256("|".join((key, *x)).encode()).hexdigest()
+    weave = lambda new: re.sub("[0-9]", lambda _, it=iter(new): next(it), m)
+    if kind == "email":
+        return f"u{sha('email', m.lower())[:12]}@d{sha('domain', m.lower().split('@')[1])[:8]}.invalid"
+    if kind == "secret":
+        out = sha("secret", m.lower())[: len(m)]
+        return out.upper() if m == m.upper() else out
+    if kind == "phone":
+        return weave(digits[:-10] + brute_digits(key, "phone", digits[-10:]))
+    if kind == "card":
+        body = digits[:4] + brute_digits(key, "card" + digits[:4], digits[4:-1])
+        luhn = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+        return weave(body + str(-luhn % 10))
+    first = datetime.date(1900, 1, 1)
+    y, mo, d = (int(x) for x in re.split("[-/.]", m)) if m[4] in "-/" else [int(x) for x in reversed(m.split("."))]
+    n = (datetime.date(y, mo, d) - first).days
+    if n < 73_000:
+        left, right = brute_feistel(key, "day", n // 365, n % 365, 200, 365)
+        n = left * 365 + right
+    else:
+        left, right = brute_feistel(key, "late", (n - 73_000) // 7, (n - 73_000) % 7, 7, 7)
+        n = 73_000 + left * 7 + right
+    out = first + datetime.timedelta(n)
+    return out.strftime("%Y-%m-%d" if "-" in m else "%Y/%m/%d" if "/" in m else "%d.%m.%Y")
+
+
+def test_every_kind_matches_a_plain_version(spark):
+    values = [
+        *[("email", x) for x in ("a@b.co", "Jane.Doe+x@Mail.Example.org", "é.ñ@x-y.de")],
+        *[("secret", x) for x in ("0123456789abcdef" * 2, "0123456789ABCDEF" * 4, "aB" * 20)],
+        *[("phone", x) for x in ("+1 275-555-5927", "+1 (275) 555 5927", "(275) 555-5927", "+12755555927")],
+        *[("card", x) for x in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005", "3782 822463 10005", "2223003122003222", "6011111111111117")],
+        *[("date", x) for x in ("2020-02-29", "1900-01-01", "2099/12/31", "31.12.2099", "2099-11-13")],
+    ]
+    around = {"secret": 'key: "{}";', "email": "to {}, now"}
+    d = docs(spark, [around.get(k, "on {} so").format(v) for k, v in values])
+    for x in pseudonyms.pseudonymize(d, "k").collect():
+        kind, v = values[x.doc_id]
+        assert x.text == around.get(kind, "on {} so").format(brute_pseudonym("k", kind, v)) and x[f"n_{kind}"] == 1, (kind, v)
+    found = ["12 4111 1111 1111 1111", "7 41 4111-1111-1111-1111.", "2024-05-06T10:00:00Z"]
+    left = ["4111 1111 1111 1112", "2024-02-30", "2024-05-06Tx", "12:4111", "9999 9999 9999 9999", "+1 275-555-592", "1.2.3.400", "2024-05-061"]
+    got = [x.text for x in pseudonyms.pseudonymize(docs(spark, found + left), "k").orderBy("doc_id").collect()]
+    assert all(a != b for a, b in zip(got[:3], found, strict=True)) and got[0].startswith("12 4111 ") and got[2].endswith("T10:00:00Z") and got[3:] == left
+
+
+@pytest.mark.parametrize("unit", ["a@b" + ".c" * 20, "a", "a.", "1", "1 ", "1-", "1.", "2020-01-", "(", "+1 ", '="a', "4111 ", "@", "a@b ", "(275) ", "a@b.c "])
+def test_very_long_texts_are_scanned(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    out = pseudonyms.pseudonymize(docs(spark, [text, "a@b" + ".c" * 300_000]), "k").select("doc_id", F.length("text").alias("n"), "n_email").orderBy("doc_id").collect()
+    assert out[0].n >= len(text) / 2 and (out[1].n, out[1].n_email) == (31, 1)
+
+
+def test_clashes_and_repeats_of_pseudonyms(spark):
+    d = spark.createDataFrame([(1, "a@b.co", "x", "y", 9)] * 2 + [(None, None, "x", "y", 9), (3, "", "x", "y", 9)], "doc_id long, text string, _found string, row string, n_ip int")
+    out = pseudonyms.pseudonymize(d, "k").collect()
+    assert len(out) == 4 and {(x._found, x.row) for x in out} == {("x", "y")} and {x.n_ip for x in out} == {0}
+    assert pseudonyms.pseudonymize(d.where("false"), "k").count() == 0
+
+
 def test_feistel_permutes(spark):
     d = spark.range(49).select(pseudonyms.feistel("k", F.lit("t"), F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(7), F.lit(7)).alias("s"))
     assert sorted((x.s.l, x.s.r) for x in d.collect()) == [(i, j) for i in range(7) for j in range(7)]

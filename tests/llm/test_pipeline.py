@@ -42,6 +42,9 @@ def test_stages(spark, tmp_path):
 def test_odd_rows(spark):
     d = spark.createDataFrame([(None, "some words here", None, None, None), (1, None, None, None, None), (2, "some words here", None, None, 3), (2, "some words here", None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.drop_near_duplicates(spark, d, SMALL).count() == 3
+    two = spark.createDataFrame([(7, "a text of some five words", None, "s", 1), (7, "another one of five words", None, "s", 1), (7, "another one of five words", None, "s", 1), (8, "another one of five words", None, "s", 1)], d.schema)
+    assert sorted((r.doc_id, r.text[:2]) for r in corpus_pipeline.drop_near_duplicates(spark, two, SMALL).collect()) == [(7, "a "), (7, "an")]
+    assert corpus_pipeline.drop_near_duplicates(spark, d.where("false"), SMALL).count() == 0
     assert corpus_pipeline.hide_personal_data(spark, d, SMALL).count() == 4
     assert corpus_pipeline.encode_pieces(spark, d, SMALL).count() == 4
     assert corpus_pipeline.identify_language(spark, d, SMALL).count() == 0
