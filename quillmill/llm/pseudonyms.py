@@ -186,7 +186,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in [f"n_{k}" for k in KINDS]]
     col = {c: F.col("row").getField(c) for c in kept}
     # the row travels as one column, so that no name of its can clash with ours
-    may = F.col(f"`{text}`").rlike("[0-9@]")
+    may = F.col(f"`{text}`").rlike("[0-9@]|[A-Fa-f]{32}")
     kinds = F.transform(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.when(may, kinds).alias("found"))
     new = F.transform("found", lambda x: pseudonym(key, x["k"], x["m"]))
