@@ -13,6 +13,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A key is hot if it holds more than one row in so many; there are no more hot keys than that.
 SHARE = 10_000
+#: Rows of keys and ids that need no dealing, as one task takes them all.
+ONE_TASK = 20_000
 TASK_BYTES = 128_000_000
 _OWN: dict[str, str] = {}
 
@@ -82,14 +84,23 @@ def tasks_for(df: DataFrame, growth: float = 3.0) -> int:
     return max(least, int(size * growth / TASK_BYTES)) if size < 1 << 60 else least
 
 
-def hot_keys(counts: DataFrame, key: list[str], rows: int, scratch: Scratch) -> DataFrame | None:
-    """(key, parts): the keys of ``counts`` (key, k) with over 1 / SHARE of ``rows``; None without any.
+def hot_keys(counts: DataFrame, key: list[str], rows: int) -> DataFrame | None:
+    """(key, parts): the keys of ``counts`` (key, k) with over 1 / SHARE of ``rows``; None without any,
+    or where all rows are few enough for one task.
 
     There are at most SHARE of them, and 2 * SHARE parts, whatever the input.
     """
-    parts = F.least(F.col("k"), F.ceil(F.col("k") * F.lit(SHARE) / F.lit(max(rows, 1)))).cast("int")
-    hot = scratch.cut(counts.where((F.col("k") > 1) & (F.col("k") * F.lit(SHARE) > F.lit(rows))).select(*key, parts.alias("parts")))
-    return None if hot.isEmpty() else hot
+    if rows <= ONE_TASK:
+        return None
+    parts = F.least(F.col("k"), F.ceil(F.col("k") * F.lit(SHARE) / F.lit(rows))).cast("int")
+    found = counts.where((F.col("k") > 1) & (F.col("k") * F.lit(SHARE) > F.lit(rows))).select(*key, parts.alias("parts"))
+    values = found.collect()
+    if not values:
+        return None
+    names = [f.name for f in found.schema]
+    lines = ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in values)
+    table = counts.sparkSession.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(names)})")
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in found.schema])
 
 
 def salted(rows: DataFrame, hot: DataFrame | None, key: list[str], spread: str) -> DataFrame:
@@ -127,22 +138,24 @@ def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None =
     """
     e = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
-    def star(rows: DataFrame, least, of: str) -> tuple[DataFrame, DataFrame]:
-        """Each node's least neighbour m; (neighbour, m) of the neighbours ``of`` names, and (node, m)."""
-        low = scratch.cut(rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("k")))
-        hubs = hot_keys(low.select("a", "k"), ["a"], low.agg(F.sum("k")).first()[0] or 0, scratch)
-        return low, salted_join(rows.where(of), low.select("a", "m"), hubs, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-
-    state = None
+    def star(rows: DataFrame, n: int, least, of: str) -> DataFrame:
+        """(neighbour, m) of the neighbours ``of`` names, and (node, m), with each node's least neighbour m."""
+        low = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("k"))
+        if n > ONE_TASK:
+            low = scratch.cut(low)
+            done.append(low)
+        hubs = hot_keys(low.select("a", "k"), ["a"], n)
+        return salted_join(rows.where(of), low.select("a", "m"), hubs, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+
+    check = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    state = e.agg(*check).first()
     while True:
+        done = [e]
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low, large = star(both, F.least(F.min("b"), F.col("a")), "b > a")
-        large = scratch.cut(large.where("a <> b").distinct())
-        least, small = star(large, F.min("b"), "true")
-        small = scratch.cut(small.where("a <> b").distinct())
-        scratch.drop(e, low, large, least)
-        e = small
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        large = scratch.cut(star(both, 2 * state[0], F.least(F.min("b"), F.col("a")), "b > a").where("a <> b").distinct())
+        e = scratch.cut(star(large, 2 * state[0], F.min("b"), "true").where("a <> b").distinct())
+        scratch.drop(*done, large)
+        now = e.agg(*check).first()
         steps = steps and steps - 1
         if now == state or steps == 0:
             break

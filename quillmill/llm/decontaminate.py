@@ -114,7 +114,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFra
     every = seen.where("s = -1").groupBy("key").agg(F.max("n_words").alias("n_words"), F.count("*").alias("k"))
     hits = scratch.cut(hits.select("key", "s", "n", "hash", "window").distinct())
     counts = hits.groupBy("hash").agg(F.count("*").alias("k"))
-    hot = hot_keys(counts, ["hash"], hits.count(), scratch)
+    hot = hot_keys(counts, ["hash"], hits.count())
     text = found.select("hash", F.col("n").alias("n_"), F.col("window").alias("window_"), "item_id")
     hits = salted_join(hits, text, hot, ["hash"], "key").where("n = n_ and window = window_")
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "n")), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))

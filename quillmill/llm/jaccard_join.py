@@ -15,9 +15,9 @@ orders are used:
 Equal sets are one class from the start: they count as one in every order, and only one of them is
 read again. Candidates of a shingle's list are never all pairs at once: round k compares the members
 with 4 ** k pivots, which then leave the list, and what is linked already is not compared again. Once
-the pairs still open are at most ``OPEN`` times the postings, all of them are compared, so no link
-between components is lost. Lists of many sets without links cost most: their pairs pass the filters
-or not one by one, over the rounds.
+the pairs still open are at most ``OPEN`` times the postings, or pivots settle less than half of them,
+all of them are compared, so no link between components is lost. Lists of many sets without links
+cost most: the filters see each of their pairs, in the join, dealt over tasks; few become rows.
 
 Keys that hold over one row in 10,000 (shingles, pivots, classes, hubs) are dealt over several tasks;
 there are at most 10,000 of them, so what is broadcast for it is bounded. Full sets are read by a
@@ -277,19 +277,14 @@ def _with_both(pairs: DataFrame, n: int, side: DataFrame, columns: list[str], sc
     """``pairs`` (n of them) with the columns of both ends; a pivot of many pairs is dealt over several tasks."""
     out = pairs
     for end, other in ("ab", "ba"):
-        hot = hot_keys(pairs.groupBy(end).agg(F.count("*").alias("k")), [end], n, scratch)
+        hot = hot_keys(pairs.groupBy(end).agg(F.count("*").alias("k")), [end], n)
         out = salted_join(out, side.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), hot, [end], other)
     return out
 
 
-#: Links have like sizes; their intersection is at most the smaller count of shingles that are not a document's own;
-#: every bin of unlike parity holds a shingle that one of the two lacks, and (n + n2) / 9 may.
-FITS = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 180 * least(shared_a, shared_b) >= 80 * (n_a + n_b) and 9 * (" + " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(PARITY_BITS // 64)) + ") <= n_a + n_b"
-
-
 def _links(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    near = _with_both(pairs, pairs.count(), prefixes, ["n", "shared", "bits", "p2", "p3"], scratch).where(FITS).select("a", "b", "p2_a", "p3_a", "p2_b", "p3_b")
+    near = _with_both(pairs, pairs.count(), prefixes, ["p2", "p3"], scratch)
     near = scratch.cut(near.mapInArrow(_share, "a long, b long").distinct())
     out = scratch.cut(_with_both(near, near.count(), sets, ["tokens"], scratch).mapInArrow(_verify, "a long, b long"))
     scratch.drop(pairs, near)
@@ -297,20 +292,23 @@ def _links(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, scratch: Scra
 
 
 def _postings(prefixes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(token, salt, rep, n, at) of the prefix shingles that make candidates, and the hot ones' parts;
+    """(token, salt, MEMBER) of the prefix shingles that make candidates, and the hot ones' parts;
     ``at`` is how many shingles of the set come before in order 1."""
-    every = prefixes.select("rep", "n", F.posexplode("p1").alias("at", "token"))
+    every = prefixes.select("rep", "n", "shared", "bits", F.posexplode("p1").alias("at", "token"))
     counts = every.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"), F.min("at").alias("first"))
     counts = scratch.cut(counts.where("k > 1"))
-    hot = hot_keys(counts, ["token"], counts.agg(F.sum("k")).first()[0] or 0, scratch)
+    hot = hot_keys(counts, ["token"], counts.agg(F.sum("k")).first()[0] or 0)
     # shingles held by the same sets make the same candidates: the one that is first in all of them is enough
     lists = counts.groupBy("k", "x1", "x2").agg(F.min_by("token", "first").alias("token")).select("token")
-    post = salted(every, hot, ["token"], "rep").join(copied(lists, hot, ["token"]), ["token", "salt"]).select("token", "salt", "rep", "n", "at")
+    post = salted(every, hot, ["token"], "rep").join(copied(lists, hot, ["token"]), ["token", "salt"]).select("token", "salt", *MEMBER)
     return scratch.cut(post), hot
 
 
-#: Like sizes; and were this shingle the first that both prefixes hold, no more than what comes from it on is shared.
-MAY = "c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and 9 * least(n - at, n2 - at2) >= 4 * (n + n2)"
+#: Like sizes; were this shingle the first that both prefixes hold, no more than what comes from it on is shared; the
+#: intersection is at most the smaller count of shingles that are not a document's own; every bin of unlike parity holds
+#: a shingle that one of the two lacks, and (n + n2) / 9 may.
+MAY = "c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and 9 * least(n - at, n2 - at2) >= 4 * (n + n2) and 180 * least(shared, shared2) >= 80 * (n + n2) and 9 * (" + " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(PARITY_BITS // 64)) + ") <= n + n2"
+MEMBER = ["rep", "n", "at", "shared", "bits"]
 
 
 def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -318,17 +316,18 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
 
     Round k compares the members of each shingle's list with 4 ** k pivots of theirs, which then
     leave the list, as all their pairs in it are decided; members of one component are not compared.
-    Once the pairs still open are at most ``OPEN`` times the postings they are all compared.
+    Once the pairs still open are at most ``OPEN`` times the postings, or a round settles less than half
+    of them, so that pivots save nothing more, they are all compared.
     """
     post, hot = _postings(prefixes, scratch)
     most = OPEN * post.count()
-    links, component = scratch.cut(sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")), None
-    key, member = ["token", "salt"], ["rep", "n", "at"]
-    k = 0
+    links, component = sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false"), None
+    key = ["token", "salt"]
+    k, before = 0, None
     while True:
         now = post.withColumn("c", F.col("rep"))
         if component is not None:
-            now = post.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, *member, F.coalesce("component", "rep").alias("c"))
+            now = post.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, *MEMBER, F.coalesce("component", "rep").alias("c"))
         now = scratch.cut(now.withColumn("h", F.xxhash64("rep", F.lit(k))))
         # the largest component of each list that holds several
         sizes = now.groupBy("token", "c").agg(F.count("*").alias("k"), F.min("h").alias("h"))
@@ -338,8 +337,8 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
         if not cost.x:
             break
         heads_ = copied(heads, hot, ["token"])
-        last = cost.x <= most
-        as_other = [F.col("rep").alias("a"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2")]
+        last, before = cost.x <= most or before is not None and 2 * cost.x > before, cost.x
+        as_other = [F.col("rep").alias("a"), *(F.col(x).alias(x + "2") for x in ("c", *MEMBER[1:]))]
         if last:
             outside = now.join(heads_.select(*key, "c_top"), key).where("c <> c_top").select("token", *as_other)
             pairs = now.join(copied(outside, hot, ["token"]), key)
@@ -350,13 +349,11 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
             pivots = open_.where("pivot").select("token", *as_other)
             pairs = open_.join(copied(pivots, hot, ["token"]), key)
         found = _links(pairs.where(MAY).select("a", F.col("rep").alias("b")), sets, prefixes, scratch)
-        both = scratch.cut(links.unionByName(found).distinct())
-        scratch.drop(links, found, now, heads, post)
-        links = both
+        links = links.unionByName(found)
+        scratch.drop(now, heads)
         if last:
             break
-        post = scratch.cut(open_.where("not pivot").select(*key, *member))
-        scratch.drop(open_)
+        post = open_.where("not pivot").select(*key, *MEMBER)
         if component is not None:
             scratch.drop(component)
         # what one step pair joins is joined; the whole components are found once, at the end
@@ -392,7 +389,7 @@ def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
         open_ = F.broadcast(open_)
     sets = scratch.cut(texts.join(open_, "doc_id").mapInArrow(_full_sets, "rep long, n long, s1 long, tokens binary"))
     # rows that repeat both id and text
-    again = scratch.cut(sets.groupBy("rep", "s1").agg(F.count("*").alias("k")).where("k > 1").select("rep", "s1"))
+    again = sets.groupBy("rep", "s1").agg(F.count("*").alias("k")).where("k > 1").select("rep", "s1")
     if not again.isEmpty():
         sets = scratch.cut(sets.join(again, ["rep", "s1"], "left_anti").unionByName(sets.join(again, ["rep", "s1"], "left_semi").dropDuplicates(["rep", "s1"]).select(*sets.columns)))
     # the same count over whole sets: who has over a fifth to itself links with nothing
@@ -403,8 +400,8 @@ def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
     prefixes = scratch.cut(sets.mapInArrow(_prefixes(shared), "rep long, n long, shared long, bits array<long>, p1 array<long>, p2 binary, p3 binary"))
     links = _link_all(sets, prefixes, scratch)
     # an id that stands in several classes (it was repeated with other texts) joins them
-    twice = scratch.cut(told.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > 1").drop("k"))
-    hot = hot_keys(classes, key, told.count(), scratch)
+    twice = told.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    hot = hot_keys(classes, key, told.count())
     member = salted_join(told.where("n > 0"), classes.select(*key, "rep"), hot, key, "doc_id")
     repeated = not twice.isEmpty()
     joins = links

@@ -405,7 +405,7 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     if groups.count() <= BROADCAST_ROWS:  # payloads stay where they are read
         joined = rows.join(F.broadcast(kept), "payload_digest", "left")
     else:
-        hot = hot_keys(groups, ["payload_digest"], groups.agg(F.sum("k")).first()[0], scratch)
+        hot = hot_keys(groups, ["payload_digest"], groups.agg(F.sum("k")).first()[0])
         joined = salted_join(rows, kept, hot, ["payload_digest"], "page_id", "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
