@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
-#: A key is hot if it holds more than one row in so many; there are no more hot keys than that.
+#: A key is hot if it holds more than ONE_TASK rows and more than one row in SHARE; no more keys than SHARE can be.
 SHARE = 10_000
-#: Rows of keys and ids that need no dealing, as one task takes them all.
 ONE_TASK = 20_000
 TASK_BYTES = 128_000_000
 _OWN: dict[str, str] = {}
@@ -85,15 +84,15 @@ def tasks_for(df: DataFrame, growth: float = 3.0) -> int:
 
 
 def hot_keys(counts: DataFrame, key: list[str], rows: int) -> DataFrame | None:
-    """(key, parts): the keys of ``counts`` (key, k) with over 1 / SHARE of ``rows``; None without any,
-    or where all rows are few enough for one task.
+    """(key, parts): the keys of ``counts`` (key, k) with more rows than one task should take of them;
+    None without any. That is ONE_TASK rows, or 1 / SHARE of all ``rows`` where that is more.
 
     There are at most SHARE of them, and 2 * SHARE parts, whatever the input.
     """
-    if rows <= ONE_TASK:
+    most = max(ONE_TASK, -(-rows // SHARE))
+    if rows <= most:
         return None
-    parts = F.least(F.col("k"), F.ceil(F.col("k") * F.lit(SHARE) / F.lit(rows))).cast("int")
-    found = counts.where((F.col("k") > 1) & (F.col("k") * F.lit(SHARE) > F.lit(rows))).select(*key, parts.alias("parts"))
+    found = counts.where(F.col("k") > most).select(*key, F.ceil(F.col("k") / most).cast("int").alias("parts"))
     values = found.collect()
     if not values:
         return None

@@ -19,8 +19,8 @@ the pairs still open are at most ``OPEN`` times the postings, or pivots settle l
 all of them are compared, so no link between components is lost. Lists of many sets without links
 cost most: the filters see each of their pairs, in the join, dealt over tasks; few become rows.
 
-Keys that hold over one row in 10,000 (shingles, pivots, classes, hubs) are dealt over several tasks;
-there are at most 10,000 of them, so what is broadcast for it is bounded. Full sets are read by a
+Keys of over 20,000 rows and over one row in 10,000 (shingles, pivots, classes, hubs) are dealt over
+several tasks; there are at most 10,000 of them, so what is broadcast for it is bounded. Full sets are read by a
 broadcast of the ids wanted up to ``BROADCAST_ROWS``, by a shuffle join beyond: the plan changes, the
 rows do not.
 
