@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, decontaminate, jaccard_join, language_id, pieces, pseudonyms, queries, token_counts, toxicity, url_filter, warc
+from quillmill.llm import ann, common, decontaminate, jaccard_join, language_id, pieces, pseudonyms, queries, token_counts, toxicity, url_filter, warc
 from quillmill.llm.common import Scratch, connected_components
 
 DOCS = "doc_id long, text string, lang string, score string, component_id string"
@@ -30,7 +30,9 @@ def low(t):
 # --- components ---
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [20_000, 3])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(400, 480)] + [(1, 1), (2, 2)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
@@ -290,8 +292,9 @@ def near_copies(r, n=160):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "one_task"), [(1, 20_000), (2, 3)])
+def test_jaccard_matches_brute_force(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)  # few rows make a key hot
     texts = [None, "", " \t\n", "one", "one", "a b c d", "a b c d e", "é A", "é a", "É a", *near_copies(random.Random(seed))]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs(spark, texts).repartition(5)).collect()}
     assert got == brute_jaccard(enumerate(texts))
