@@ -13,9 +13,9 @@ orders are used:
   prefixes share nothing under either are dropped before whole sets are compared.
 
 Equal sets are one class from the start: they count as one in every order, and only one of them is
-read again. Candidates of a shingle's list are never all pairs at once: round k compares the members
-with 4 ** k pivots, which then leave the list, and what is linked already is not compared again. Once
-the pairs still open are at most ``OPEN`` times the postings, or pivots settle less than half of them,
+read again. Candidates of a shingle's list are never all pairs at once: each round compares the members
+with a few pivots, which then leave the list, and what is linked already is not compared again. Once
+the pairs still open are at most ``OPEN`` times the members, or pivots settle less than a fifth of them,
 all of them are compared, so no link between components is lost. Lists of many sets without links
 cost most: the filters see each of their pairs, in the join, dealt over tasks; few become rows.
 
@@ -51,7 +51,7 @@ SKETCH_BITS = 22
 PARITY_BITS = 512
 FLUSH = 400_000
 BROADCAST_ROWS = 1_000_000
-OPEN = 32
+OPEN = 2
 MULTI = np.iinfo(np.int64).min
 CELL_SETS = 1_024  # sets of a block, and their shingles
 CELL_SHINGLES = 400_000
@@ -314,13 +314,12 @@ MEMBER = ["rep", "n", "at", "shared", "bits"]
 def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all sets that links connect.
 
-    Round k compares the members of each shingle's list with 4 ** k pivots of theirs, which then
-    leave the list, as all their pairs in it are decided; members of one component are not compared.
-    Once the pairs still open are at most ``OPEN`` times the postings, or a round settles less than half
-    of them, so that pivots save nothing more, they are all compared.
+    Each round compares the members of each shingle's list with pivots of theirs: in turn the one with
+    the fewest shingles of its own, and 4 ** k (in round k) by a hash of the id. Pivots then leave the list, as all their pairs in it are decided; members of one component are not compared.
+    Once the pairs still open are at most ``OPEN`` times the members, or a round settles less than a
+    fifth of them, so that pivots save nothing more, they are all compared.
     """
     post, hot = _postings(prefixes, scratch)
-    most = OPEN * post.count()
     links, component = sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false"), None
     key = ["token", "salt"]
     k, before = 0, None
@@ -328,7 +327,10 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
         now = post.withColumn("c", F.col("rep"))
         if component is not None:
             now = post.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, *MEMBER, F.coalesce("component", "rep").alias("c"))
-        now = scratch.cut(now.withColumn("h", F.xxhash64("rep", F.lit(k))))
+        # the set with the fewest shingles of its own is most like the text that the others were made from
+        first = k % 2 == 0
+        own = (F.col("n") - F.col("shared")) * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
+        now = scratch.cut(now.withColumn("h", own if first else F.xxhash64("rep", F.lit(k))))
         # the largest component of each list that holds several
         sizes = now.groupBy("token", "c").agg(F.count("*").alias("k"), F.min("h").alias("h"))
         heads = sizes.groupBy("token").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.max_by("c", "k").alias("c_top"), F.min("h").alias("h_least"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
@@ -337,14 +339,14 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
         if not cost.x:
             break
         heads_ = copied(heads, hot, ["token"])
-        last, before = cost.x <= most or before is not None and 2 * cost.x > before, cost.x
+        last, before = cost.x <= OPEN * cost.m or before is not None and cost.x > 0.8 * before, cost.x
         as_other = [F.col("rep").alias("a"), *(F.col(x).alias(x + "2") for x in ("c", *MEMBER[1:]))]
         if last:
             outside = now.join(heads_.select(*key, "c_top"), key).where("c <> c_top").select("token", *as_other)
             pairs = now.join(copied(outside, hot, ["token"]), key)
         else:
             share = F.lit(float(4**k)) / F.col("m")
-            bound = F.greatest("h_least", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long")))
+            bound = F.col("h_least") if first else F.greatest("h_least", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long")))
             open_ = scratch.cut(now.join(heads_.select(*key, bound.alias("bound")), key).withColumn("pivot", F.col("h") <= F.col("bound")).drop("bound", "h"))
             pivots = open_.where("pivot").select("token", *as_other)
             pairs = open_.join(copied(pivots, hot, ["token"]), key)
@@ -356,8 +358,8 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
         post = open_.where("not pivot").select(*key, *MEMBER)
         if component is not None:
             scratch.drop(component)
-        # what one step pair joins is joined; the whole components are found once, at the end
-        component = connected_components(links, scratch, 1)
+        # what is linked must not be compared again, so the components are whole
+        component = connected_components(links, scratch)
         k += 1
     return links
 
