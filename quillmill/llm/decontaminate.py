@@ -4,9 +4,8 @@ Words are runs of ASCII letters and digits and of all non-ASCII characters after
 window is ``width`` consecutive words of a benchmark item, or all words of a shorter one. The windows'
 64-bit hashes are a broadcast hash set of ``SET_ROWS`` at most; a larger benchmark is dealt by hash into
 several such sets, and the documents are scanned once for each. A document's words are scanned in its
-row: where a word may be some window's anchor (its longest word), the windows that could hold it there
-are hashed; what may be in the set by a bitmap of ``BITMAP_BYTES`` at most leaves the row and is looked
-up. What is found is verified word by word against the windows' text, then items and covered words
+row: where a word is some window's anchor (its longest word), the windows that could hold it there are
+hashed, and only those of a known hash leave the row and meet the set. What is found is verified word by word against the windows' text, then items and covered words
 are counted.
 
 Null, empty and wordless texts have no words, no hits and no items; so have null, empty and wordless
@@ -27,9 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_CHARACTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
-SET_ROWS = 1_000_000
+SET_ROWS = 100_000
 BROADCAST_ROWS = 1_000_000
-BITMAP_BYTES = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -38,8 +36,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(lowered, SEPARATORS), lambda w: w != ""), F.array().cast("array<string>"))
 
 
-def _hash(words: Column, start: Column, n: Column) -> Column:
-    return F.xxhash64(n, F.slice(words, start + 1, n))
+def _hash(words: Column, start: Column, n: int) -> Column:
+    """Word by word, as a slice would copy the whole array each time."""
+    return F.xxhash64(F.lit(n), *[F.get(words, start + k) for k in range(n)])
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -49,44 +48,32 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     w = w.select("item_id", n.alias("n"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("s"))
     w = w.select("item_id", "n", F.slice("w", F.col("s") + 1, F.col("n")).alias("w"))
     anchor = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
-    return w.select("item_id", "n", F.array_join("w", " ").alias("window"), _hash(F.col("w"), F.lit(0), F.col("n")).alias("hash"), F.xxhash64(anchor).alias("anchor")).distinct()
+    return w.select("item_id", "n", F.array_join("w", " ").alias("window"), F.coalesce(*[F.when(F.col("n") == k, _hash(F.col("w"), F.lit(0), k)) for k in range(1, width + 1)]).alias("hash"), F.xxhash64(anchor).alias("anchor")).distinct()
 
 
-def _bitmap(hashes: DataFrame, column: str, n: int) -> Column:
-    """A test whether a hash may be one of ``n`` hashes: bits of a literal of ``BITMAP_BYTES`` at most."""
-    size = min(BITMAP_BYTES, 1 << max(6, (2 * n - 1).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit(8 * size - 1))
-    rows = hashes.groupBy(F.floor(at / 8).cast("int").alias("i")).agg(F.expr(f"bit_or(shiftleft(1, cast({column} & 7 as int)))").alias("byte")).collect()
-    table = bytearray(size)
-    for r in rows:
-        table[r.i] = r.byte
-    literal = F.lit(bytes(table))
+def _member(hashes: DataFrame, column: str):
+    """A test whether a hash is one of ``hashes`` (SET_ROWS at most), by a hash set within the plan."""
+    values = [r[0] for r in hashes.select(column).distinct().collect()]
+    return lambda h: h.isin(values)
 
-    def may(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(8 * size - 1)).cast("int")
-        byte = F.ascii(F.decode(F.substr(literal, F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
-        return F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1
 
-    return may
-
-
-def scan(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
+def scan(rows: DataFrame, found: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
     """(key, n_words, s, n, hash, window): the windows of ``rows`` (key, w) whose hash is that of one of
     ``found``, and one row with s = -1 for every row."""
     hashes = found.select("hash").distinct()
-    n = hashes.count()
-    anchor, known = _bitmap(found, "anchor", n), _bitmap(found, "hash", n)
+    anchor, known = _member(found, "anchor"), _member(found, "hash")
     at = F.array_compact(F.transform("w", lambda x, i: F.when(anchor(F.xxhash64(x)), i)))
 
     def of(n):
-        starts = lambda p: F.filter(F.sequence(p - (n - 1), p), lambda s: (s >= 0) & (s + n <= F.size("w")) & known(_hash(F.col("w"), s, F.lit(n))))
-        return F.transform(F.array_distinct(F.flatten(F.transform(F.col("at"), starts))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+        starts = lambda p: F.filter(F.sequence(p - (n - 1), p), lambda s: (s >= 0) & (s + n <= F.size("w")) & known(_hash(F.col("w"), s, n)))
+        return F.transform(F.array_distinct(F.flatten(F.transform(F.col("at"), starts))), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), _hash(F.col("w"), s, n).alias("hash")))
 
     one = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("window")))
-    windows = F.transform(F.concat(*[of(n) for n in lengths]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), _hash(F.col("w"), x["s"], x["n"]).alias("hash"), F.array_join(F.slice("w", x["s"] + 1, x["n"]), " ").alias("window")))
+    windows = F.transform(F.concat(*[of(n) for n in lengths]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["hash"].alias("hash"), F.array_join(F.slice("w", x["s"] + 1, x["n"]), " ").alias("window")))
     # only what may be a hit leaves the row
-    c = rows.withColumn("at", at).select("key", F.size("w").alias("n_words"), F.when(F.size("at") > 0, F.concat(one, windows)).otherwise(one).alias("c"))
-    c = c.select("key", "n_words", F.inline("c"))
+    c = rows.withColumn("at", at).withColumn("c", F.when(F.size("at") > 0, F.concat(one, windows)).otherwise(one))
+    # written as arrays: were they exploded at once, the words would be split anew for each element
+    c = scratch.cut(c.select("key", F.size("w").alias("n_words"), "c")).select("key", "n_words", F.inline("c"))
     return c.join(F.broadcast(hashes.withColumn("is_hash", F.lit(True))), "hash", "left").where("is_hash or s = -1").select("key", "n_words", "s", "n", "hash", "window")
 
 
@@ -103,7 +90,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFra
     lengths = sorted(r[0] for r in found.select("n").distinct().collect())
     rows = docs.select(_key(docs).alias("key"), words(docs["text"]).alias("w"))
     if lengths:
-        scans = [scan(rows, found.where(F.pmod("hash", F.lit(sets)) == i), lengths) for i in range(sets)]
+        scans = [scan(rows, found.where(F.pmod("hash", F.lit(sets)) == i), lengths, scratch) for i in range(sets)]
         seen = scratch.cut(scans[0])
         hits = seen.where("s >= 0")
         for more in scans[1:]:
