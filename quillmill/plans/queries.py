@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import capture, evaluate, links, manifest, search, spans, validate
+from ..operators.stored import spread, stored
 from ..sources import corpus, markdown
 
 
@@ -20,7 +21,7 @@ def doc_notes(spark, sf_dir):
 
 
 def doc_passages(spark, sf_dir):
-    return spans.split_spans(doc_notes(spark, sf_dir))
+    return spans.split_spans(spread(doc_notes(spark, sf_dir), "path"))
 
 
 def talk_passages(spark, sf_dir):
@@ -82,7 +83,7 @@ def metadata_documents(spark, sf_dir):
 
 
 def _ranked(passages, asked, limit, weight):
-    return search.rank(search.scores(search.build_index(passages), asked, weight), limit)
+    return search.rank(search.scores(search.build_index(passages).stored(), asked, weight), limit)
 
 
 def bm25_single(spark, sf_dir):
@@ -91,7 +92,8 @@ def bm25_single(spark, sf_dir):
 
 
 def bm25_two_field(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 5 = 0").select(F.col("conv_id").alias("query_id"), F.lit(0).alias("wording_no"), F.concat(F.lit("user conversation "), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")).alias("wording"))
+    """The opening turns of the conversations whose id is divisible by 100, as whole wordings, against all passages."""
+    asked = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0 and text is not null").select(F.col("conv_id").alias("query_id"), F.lit(0).alias("wording_no"), F.concat(F.lit("user conversation "), "text").alias("wording"))
     out = _ranked(talk_passages(spark, sf_dir), asked, 10, search.METADATA_WEIGHT)
     return out.select("query_id", "rank", "path", "start_line", F.round("score", 6).alias("score"))
 
@@ -105,7 +107,7 @@ def suppress_duplicates(spark, sf_dir):
     p = doc_passages(spark, sf_dir)
     # one list that holds every passage, best first by its path
     all_ = p.select(F.lit(0).alias("query_id"), *search.KEY, F.lit(1.0).alias("score"))
-    return search.suppress_duplicates(all_, p).select("path", "start_line")
+    return search.suppress_duplicates(all_, search.build_index(p)).select("path", "start_line")
 
 
 def fused_search(spark, sf_dir):
@@ -299,7 +301,7 @@ def capture_plan(spark, sf_dir):
 
 def slugs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.slug(F.substring("text", 1, F.lit(20) + F.col("doc_id") % 90), 48).alias("slug"))
+    return d.select("doc_id", T.slug(F.col("text"), 48).alias("slug"))
 
 
 def yaml_scalars(spark, sf_dir):
@@ -342,8 +344,11 @@ def relevance(spark, sf_dir):
 
 def retrieval_quality(spark, sf_dir):
     p, asked = doc_passages(spark, sf_dir), wordings(spark, sf_dir)
-    single = search.search(p, asked.where("wording_no = 2"))
-    fused = search.search(p, asked)
+    index = search.build_index(p).stored()
+    ranked = stored(search.rank(search.scores(index, asked), search.FUSION_DEPTH), "ranked")
+    most = search.FUSION_DEPTH * asked.count()
+    single = search.results(ranked.where("wording_no = 2"), index, most=most)
+    fused = search.results(ranked, index, most=most)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
     return evaluate.retrieval_quality(questions, single, fused, _relevant(spark, sf_dir))
 

@@ -141,7 +141,7 @@ SQL = {
     "corpus_stats": f"WITH {TALK}, {WORDINGS}, {scoring('wd', 0.0)} SELECT field, n, round(average, 6) AS average FROM st",
     "metadata_documents": f"WITH {TALK} SELECT path, start_line, metadata FROM met",
     "bm25_single": f"WITH {DOCS}, {WORDINGS}, w1 AS (SELECT * FROM wd WHERE wording_no = 0), {scoring('w1', 0.0)} SELECT query_id, CAST(rank AS INTEGER) AS rank, path, round(score, 6) AS score FROM rk WHERE rank <= 10",
-    "bm25_two_field": rf"WITH {TALK}, w1 AS (SELECT conv_id AS query_id, 0 AS wording_no, 'user conversation ' || array_to_string(regexp_split_to_array(text, '\s+')[1:6], ' ') AS wording FROM conversations WHERE turn = 0 AND conv_id % 5 = 0), {scoring('w1', METADATA_WEIGHT)} SELECT query_id, CAST(rank AS INTEGER) AS rank, path, start_line, round(score, 6) AS score FROM rk WHERE rank <= 10",
+    "bm25_two_field": rf"WITH {TALK}, w1 AS (SELECT conv_id AS query_id, 0 AS wording_no, 'user conversation ' || text AS wording FROM conversations WHERE turn = 0 AND conv_id % 100 = 0 AND text IS NOT NULL), {scoring('w1', METADATA_WEIGHT)} SELECT query_id, CAST(rank AS INTEGER) AS rank, path, start_line, round(score, 6) AS score FROM rk WHERE rank <= 10",
     "rrf_fused": f"{SEARCH} SELECT query_id, path, round(score, 9) AS score FROM fu",
     "suppress_duplicates": f"WITH {DOCS} SELECT path, start_line FROM (SELECT path, start_line, row_number() OVER (PARTITION BY array_to_string({tok('text')}, ' ') ORDER BY path, start_line) AS k FROM pas) WHERE k = 1",
     "fused_search": f"{SEARCH} SELECT query_id, CAST(rank AS INTEGER) AS rank, path, start_line, end_line, round(score, 9) AS score FROM tp5 WHERE rank <= 5",
@@ -203,7 +203,7 @@ ac AS (SELECT *, CASE WHEN action = 'write' AND name IS NULL THEN 'refuse' ELSE
 SELECT item_no, act AS action, kind, CASE WHEN act = 'write' THEN CASE WHEN kind = 'source' THEN 'sources' ELSE 'inbox' END END AS folder, name, CASE WHEN act <> 'refuse' THEN CASE WHEN kind = 'source' THEN sid ELSE name END END AS id,
   CASE WHEN act = 'write' THEN md5('---' || chr(10) || 'id: ' || CASE WHEN kind = 'source' THEN sid ELSE name END || chr(10) || 'created: 2024-05-06T07:08:09+00:00' || chr(10) || CASE WHEN kind = 'source' THEN 'url: "' || item || '"' || chr(10) ELSE '' END || '---' || chr(10) || chr(10) || trim(item) || chr(10)) END AS digest
 FROM ac""".replace("WITH nu AS", f"WITH {ITEMS}, nu AS", 1),
-    "slugs": f"SELECT doc_id, {slug('x')} AS slug FROM (SELECT doc_id, substr(text, 1, 20 + doc_id % 90) AS x FROM documents)",
+    "slugs": f"SELECT doc_id, {slug('x')} AS slug FROM (SELECT doc_id, text AS x FROM documents)",
     "yaml_scalars": r"""WITH c AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN source || '''s' WHEN 2 THEN 'yes' WHEN 3 THEN source || '/x.y' WHEN 4 THEN doc_id || 'e5' ELSE '' END AS c FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 6 = 3 THEN c ELSE '''' || replace(c, '''', '''''') || '''' END AS scalar, '"' || c || '\t\"\\"' AS quoted FROM c""",
     "walk_order": f"WITH {NOTES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS walk_no FROM docs",

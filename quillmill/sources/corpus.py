@@ -30,7 +30,10 @@ def notes_of_conversations(conversations: DataFrame) -> DataFrame:
     turn = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("part")))), lambda x: x["part"]), "\n\n")
     name = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
-    d = conversations.groupBy("conv_id").agg(whole.alias("parts")).withColumn("text", F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("parts")))
+    # dealt by a stated number, so that turns meet once and the passages' work keeps all cores busy
+    spark = conversations.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = conversations.repartition(tasks, "conv_id").groupBy("conv_id").agg(whole.alias("parts")).withColumn("text", F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("parts")))
     none = F.array().cast(EMPTY)
     return d.select(F.format_string("conversations/%s.md", F.col("conv_id").cast("string")).alias("path"), F.col("conv_id").cast("string").alias("name"), "text", F.col("text").alias("body"), F.lit(0).alias("body_line"), name.alias("title"), none.alias("tags"), none.alias("aliases"), none.alias("about"), F.col("conv_id").alias("doc_no"))
 

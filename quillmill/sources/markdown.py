@@ -71,7 +71,8 @@ def within_budget(files: DataFrame, budget: int) -> DataFrame:
     """The first rows in walk order of a table of paths: directory by directory, not by the plain path."""
     from pyspark.sql.window import Window
 
-    return files.withColumn("walk_no", F.row_number().over(Window.orderBy(F.split("path", "/")))).where(F.col("walk_no") <= budget)
+    first = files.orderBy(F.split("path", "/")).limit(budget)  # a top-k of each task; only those meet to be numbered
+    return first.withColumn("walk_no", F.row_number().over(Window.orderBy(F.split("path", "/"))))
 
 
 def replace_file(path: str, text: str, exclusive: bool = False) -> None:
