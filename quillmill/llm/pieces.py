@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_CHARS = 20_000_000
+TABLE_CHARS = 5_000_000
 BATCH_TEXTS = 256
 _CHUNK = re.compile(" +[^ ]*")
 _LOADED: dict[str, "Codec"] = {}
