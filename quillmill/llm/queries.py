@@ -7,8 +7,9 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, language_id, pieces, pseudonyms, token_counts, toxicity, url_filter, warc
-from .common import table
+from . import ann, decontaminate, jaccard_join, language_id, packing, pieces, prefix_trie, pseudonyms, token_counts, toxicity, turns, url_filter, warc
+from . import repair as repairs
+from .common import Scratch, table
 
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -86,7 +87,34 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), pseudonym_key(spark)).select("doc_id", "text", *counts)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    scratch = Scratch(spark, "repaired")
+    done = repairs.repair(repairs.damage(rows))
+    lines = scratch.cut(done.turns.select("conv_id", "id", "sub", F.concat("role", F.lit(":"), "text").alias("line")))
+    shas = turns.digests(lines, "conv_id", ["id", "sub"], "line", "\n", "repaired_sha256").withColumnRenamed("conv_id", "c")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv")).distinct()
+    out = every.join(done.audits, every["conv"].eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(shas, out["conv"].eqNullSafe(F.col("c")), "left")
+    numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("conv").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    scratch = Scratch(spark, "trie")
+    own = prefix_trie.numbered_turns(rows, scratch)
+    convs = scratch.cut(own.select("conv_id").distinct())
+    nodes = prefix_trie.trie(prefix_trie.shared_heads(own, scratch), convs, scratch)
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms, op11_conversation_repair, op12_packing, op13_prefix_trie)}
 
 _OP3 = r"""
 WITH RECURSIVE w AS (
@@ -161,4 +189,87 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN kept <> pag
 FROM p LEFT JOIN k ON k.d = p.d AND n >= 1000
 """
 
-ORACLE_SQL = {"op3_jaccard_join": _OP3, "op3_jaccard_links": _OP3_LINKS, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op9_warc": _OP9}
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bytes_ = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(({text})[i]) AS BIGINT))"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda c, b: {byte}), 4294967295)"
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _then(letter: str, cost: str, state: int, when: str = "true") -> str:
+    """An edit before what is best from a state of the next layer."""
+    return f"CASE WHEN {when} THEN {{'c': b{state}.c + {cost}, 's': '{letter}' || b{state}.s}} END"
+
+
+def _consume(p: int) -> str:
+    keeps = [_then("K", "(f = 1)::INT", q, f"f < 2 AND k = {role}") for role, q in repairs.MOVES[p].items()]
+    return _least(_then("D", "3", p), _then("R", "2 + (f = 1)::INT", repairs.TURN[p], "f < 2"), *keeps)
+
+
+_INSERT = lambda x: f"{{'c': {x}.c + 2, 's': 'I' || {x}.s}}"
+
+_OP11 = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+x AS (SELECT *, {_crc32("key")} % 20 AS fate FROM o),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM x, LATERAL (SELECT unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END)) WHERE fate <> 0),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
+r AS (
+  SELECT conv_id, turn, i, role, text, CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS k,
+    CASE WHEN shown = '' THEN 2 WHEN seen > 1 THEN 3 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f FROM n),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate, count(*) FILTER (f = 1) AS truncated, max(i) AS n
+  FROM r GROUP BY conv_id),
+l AS (SELECT conv_id, count(*) FILTER (p IS NOT NULL AND (p, k) NOT IN ((0, 1), (1, 2), (2, 1))) AS illegal FROM (SELECT conv_id, k, lag(k) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM r) GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n AS i, {{'c': 0, 's': ''}} AS b0, {{'c': 4, 's': 'II'}} AS b1, {{'c': 2, 's': 'I'}} AS b2, {{'c': 0, 's': ''}} AS b3 FROM s
+  UNION ALL
+  SELECT conv_id, i, {_least("c0", _INSERT(_INSERT("c3")), _INSERT("c2"))}, {_least("c1", _INSERT(_INSERT("c3")), _INSERT("c2"))}, {_least("c2", _INSERT("c3"))}, {_least("c3", _INSERT("c2"))}
+  FROM (SELECT b.conv_id, b.i - 1 AS i, {", ".join(f"{_consume(p)} AS c{p}" for p in range(4))} FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i)),
+a AS (SELECT conv_id, b0.c AS cost, b0.s AS audit FROM b WHERE i = 0),
+e AS (SELECT conv_id, j, audit[j] AS e, length(replace(audit, 'D', '')) % 2 AS odd FROM a, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS j)),
+t AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w - 1 AS place
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+m AS (
+  SELECT t.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole
+  FROM t LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i AND e <> 'I' WHERE e <> 'D' GROUP BY t.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+_OP13 = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS v, {_crc32("v")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (
+  SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id - (c.conv_id % 5 + 5) % 5 AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS bytes, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER w) AS node
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT conv_id, depth, bytes, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own FROM q GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+a AS (SELECT DISTINCT x.node, y.node AS top FROM q x JOIN q y ON x.conv_id = y.conv_id AND y.depth <= x.depth),
+u AS (SELECT top AS node, sum(own) AS saved, count(*) FILTER (k.node IS NULL) AS n_leaves FROM a JOIN n USING (node) LEFT JOIN k ON k.node = a.node GROUP BY top),
+z AS (SELECT conv_id, max(depth) AS depth FROM q GROUP BY conv_id),
+e AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM z JOIN q USING (conv_id, depth) GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN k ON k.node = n.node LEFT JOIN u ON u.node = n.node LEFT JOIN e ON e.node = n.node
+"""
+
+ORACLE_SQL = {"op11_conversation_repair": _OP11, "op13_prefix_trie": _OP13, "op3_jaccard_join": _OP3, "op3_jaccard_links": _OP3_LINKS, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op9_warc": _OP9}
