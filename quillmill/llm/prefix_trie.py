@@ -159,7 +159,9 @@ def trie(turns: DataFrame, convs: DataFrame, scratch: Scratch, trie_rows: int =
     seq = scratch.cut(sequences(turns, convs))
     same = ["n", "s1", "s2"]
     kinds = scratch.cut(seq.groupBy(*same).agg(F.min("conv_id").alias("rep"), F.count("*").alias("copies")))
-    ends = digests(seq.join(kinds, same).select("rep", "conv_id", F.col("conv_id").cast("string").alias("id")), "rep", ["conv_id"], "id", ",", "ends_sha256")
+    # written, so that the number of tasks follows its size and not an estimate of the join
+    members = scratch.cut(seq.join(kinds, same).select("rep", "conv_id", F.col("conv_id").cast("string").alias("id")))
+    ends = digests(members, "rep", ["conv_id"], "id", ",", "ends_sha256")
 
     first = turns.where("depth = 1").select("conv_id", F.col("d").alias("grp"))
     reps = kinds.select(F.col("rep").alias("conv_id"), "copies", "n")
