@@ -67,8 +67,7 @@ def tokens_per_doc(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    index = search.build_index(doc_passages(spark, sf_dir))
-    return index.postings().groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search.build_index(doc_passages(spark, sf_dir)).term_counts()
 
 
 def corpus_stats(spark, sf_dir):
@@ -84,7 +83,7 @@ def metadata_documents(spark, sf_dir):
 
 
 def _ranked(passages, asked, limit, weight):
-    return search.rank(search.scores(search.build_index(passages).stored(), asked, weight), limit)
+    return search.best(search.build_index(passages), asked, limit, weight)
 
 
 def bm25_single(spark, sf_dir):
@@ -346,7 +345,7 @@ def relevance(spark, sf_dir):
 def retrieval_quality(spark, sf_dir):
     p, asked = doc_passages(spark, sf_dir), wordings(spark, sf_dir)
     index = search.build_index(p).stored()
-    ranked = stored(search.rank(search.scores(index, asked), search.FUSION_DEPTH), "ranked")
+    ranked = stored(search.best(index, asked, search.FUSION_DEPTH), "ranked")
     most = search.FUSION_DEPTH * asked.count()
     single = search.results(ranked.where("wording_no = 2"), index, most=most)
     fused = search.results(ranked, index, most=most)
