@@ -74,6 +74,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules where every third page redirects to the page of half its number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    half = pages.where("page_id % 3 = 0").select(F.floor(F.col("page_id") / 2).alias("to_id"), F.col("url").alias("from_url"))
+    redirects = half.join(pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("to_url")), "to_id").select("from_url", "to_url")
+    return url_filter.judge(pages, URL_RULES, redirects).select("page_id", "rule", "verdict", "aliased")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -114,7 +122,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumn("depth", F.col("depth").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op8_sentencepiece, op9_warc, op10_pseudonyms, op11_conversation_repair, op12_packing, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op3_jaccard_links, op4_decontamination, op5_token_counts, op6_nearest_neighbours, op7_url_filter, op7_url_aliases, op8_sentencepiece, op9_warc, op10_pseudonyms, op11_conversation_repair, op12_packing, op13_prefix_trie)}
 
 _OP3 = r"""
 WITH RECURSIVE w AS (
@@ -181,6 +189,25 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
 """
 
+_OP7_ALIASES = (
+    "WITH RECURSIVE"
+    + _OP7.split("WITH", 1)[1].rsplit("\nSELECT", 1)[0]
+    + r""",
+y AS (
+  SELECT page_id, url, regexp_replace(url, '#.*$', '') AS plain FROM pages WHERE position('://' IN url) > 0),
+z AS (
+  SELECT page_id, lower(regexp_extract(plain, '^[^:]*://[^/?]*')) || CASE WHEN regexp_extract(plain, '^[^:]*://[^/?]*(/?)', 1) = '' THEN '/' ELSE '' END || substr(plain, length(regexp_extract(plain, '^[^:]*://[^/?]*')) + 1) AS node FROM y),
+e AS (SELECT a.node AS u, b.node AS v FROM z a JOIN z b ON a.page_id % 3 = 0 AND b.page_id = a.page_id // 2 AND a.node <> b.node),
+s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+c AS (SELECT u AS node, u AS other FROM s UNION SELECT c.node, s.v FROM c JOIN s ON s.u = c.other),
+nh AS (SELECT DISTINCT node, translate(regexp_extract(node, '://([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(node, '://[^/?]*([^?]*)', 1) AS path FROM s JOIN z ON z.node = s.u),
+nv AS (SELECT node, arg_max(v, length(rh || rp)) AS v FROM nh JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node),
+bad AS (SELECT c.node, bool_or(coalesce(nv.v, '') = 'block') AS bad FROM c LEFT JOIN nv ON nv.node = c.other GROUP BY c.node)
+SELECT h.page_id, rule, coalesce(m.v, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, bad IS NOT NULL AS aliased
+FROM h LEFT JOIN m USING (page_id) LEFT JOIN z USING (page_id) LEFT JOIN bad ON bad.node = z.node
+"""
+)
+
 _OP9 = """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 k AS (SELECT d, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d)
@@ -272,4 +299,4 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_ch
 FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN k ON k.node = n.node LEFT JOIN u ON u.node = n.node LEFT JOIN e ON e.node = n.node
 """
 
-ORACLE_SQL = {"op11_conversation_repair": _OP11, "op13_prefix_trie": _OP13, "op3_jaccard_join": _OP3, "op3_jaccard_links": _OP3_LINKS, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op9_warc": _OP9}
+ORACLE_SQL = {"op11_conversation_repair": _OP11, "op13_prefix_trie": _OP13, "op3_jaccard_join": _OP3, "op3_jaccard_links": _OP3_LINKS, "op4_decontamination": _OP4, "op6_nearest_neighbours": _OP6, "op7_url_filter": _OP7, "op7_url_aliases": _OP7_ALIASES, "op9_warc": _OP9}

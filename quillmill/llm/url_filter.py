@@ -9,7 +9,10 @@ allowed whatever its aliases are. All else is allowed.
 
 Edges come from the pages' canonical links and meta refreshes, resolved against the page's address or
 its base element, and from a table of redirects if given. Nodes are urls in one spelling (``node``):
-scheme and host in lower case, no default port, no dot segments, no fragment. Rules judge a page by
+scheme and host in lower case, no default port, no dot segments, no fragment, no needless percent
+signs; in the components a node is the 128-bit digest of its url. Html is read in one pass without
+going back, whatever stands in it: comments go first (one that is not closed reaches the end), a tag
+ends at its first ``>``, and attributes are read in order, values with their quotes. Rules judge a page by
 its url as it is written, and its aliases by their nodes.
 
 Nulls and edges: a null url, or one without ``://``, has an empty host and path, fits no rule and has no
@@ -64,8 +67,21 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))).otherwise(path)
 
 
+def _plain_percent(url: Column) -> Column:
+    """Percent signs that stand for unreserved characters resolved, others with upper-case digits."""
+    code = lambda x: F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
+
+    def part(x: Column, i: Column) -> Column:
+        sign = F.char(code(x))
+        resolved = F.when(sign.rlike("^[A-Za-z0-9._~-]$"), sign).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2))))
+        return F.when(i == 0, x).when(x.rlike("^[0-9A-Fa-f]{2}"), F.concat(resolved, F.substr(x, F.lit(3)))).otherwise(F.concat(F.lit("%"), x))
+
+    return F.when(F.contains(url, F.lit("%")), F.array_join(F.transform(F.split(url, "%", -1), part), "")).otherwise(url)
+
+
 def node(url: Column) -> Column:
     """The one spelling of a url: scheme and host in lower case, no default port, no dot segments, no fragment."""
+    url = _plain_percent(url)
     plain = F.regexp_replace(F.trim(url), r"#[\s\S]*$", "")
     part = lambda i: F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*@)?([^/?@]*?)(:[0-9]*)?(/[^?]*)?(\?[\s\S]*)?$", i)
     scheme, port = _lower(part(1)), part(4)
@@ -90,21 +106,36 @@ def absolute(link: Column, base: Column) -> Column:
     )
 
 
+COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
+TAG = r"(?i)<(?:link|meta|base)\b[^<>]*+>"
+ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<>]++))?"""
+
+
+def _attributes(tag: Column) -> Column:
+    """array<struct(name, value)> of a tag, its own name first; names in lower case, values without quotes."""
+    found = lambda i: F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(i))
+    value = lambda x: F.replace(F.when(x.rlike("^[\"']"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x), F.lit("&amp;"), F.lit("&"))
+    return F.zip_with(found(1), found(2), lambda n, x: F.struct(_lower(n).alias("name"), value(x).alias("value")))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, quoted or not; empty without one."""
-    found = lambda i: F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i)
-    return F.regexp_replace(F.concat(found(1), found(2), found(3)), "&amp;", "&")
+    """The first value of an attribute; null without one."""
+    return F.get(F.filter(tag, lambda x: x["name"] == name), F.lit(0))["value"]
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): canonical links and meta refreshes in the pages' html."""
-    tag = lambda pattern: F.regexp_extract("html", pattern, 0)
-    canonical = _attribute(tag(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), "href")
-    content = _attribute(tag(r"(?i)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"), "content")
-    refresh = F.regexp_extract(content, r"(?i)\burl\s*=\s*[\"']?([^\"';\s]+)", 1)
-    home = _attribute(tag(r"(?i)<base\b[^>]*\bhref\b[^>]*>"), "href")
-    may = F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh")
-    d = pages.where(may & F.contains("url", F.lit("://"))).select("url", home.alias("home"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
+    """(from_url, to_url): the canonical link and the meta refresh of each page's html."""
+    may = F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*+=\s*+[\"']?refresh")
+    tags = F.transform(F.regexp_extract_all(F.regexp_replace("html", COMMENT, ""), F.lit(TAG), F.lit(0)), _attributes)
+    d = pages.where(may & F.contains("url", F.lit("://"))).select("url", tags.alias("tags"))
+    kind = lambda x: F.get(x, F.lit(0))["name"]
+    first = lambda test: F.get(F.filter("tags", test), F.lit(0))
+    words = lambda x: F.split(_lower(F.trim(F.coalesce(_attribute(x, "rel"), F.lit("")))), r"\s+")
+    canonical = _attribute(first(lambda x: (kind(x) == "link") & F.array_contains(words(x), "canonical")), "href")
+    content = _attribute(first(lambda x: (kind(x) == "meta") & (_lower(F.trim(F.coalesce(_attribute(x, "http-equiv"), F.lit("")))) == "refresh")), "content")
+    refresh = F.regexp_extract(content, r"(?i)\burl\s*+=\s*+[\"']?([^\"';\s]+)", 1)
+    home = _attribute(first(lambda x: (kind(x) == "base") & _attribute(x, "href").isNotNull()), "href")
+    d = d.select("url", F.coalesce(home, F.lit("")).alias("home"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
     base = F.when(F.col("home") == "", F.col("url")).otherwise(F.coalesce(absolute(F.col("home"), F.col("url")), F.col("url")))
     return d.select(F.col("url").alias("from_url"), absolute(F.col("link"), base).alias("to_url")).where("to_url is not null")
 
@@ -117,14 +148,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         links = links.unionByName(redirects.select("from_url", "to_url").where("from_url is not null and to_url is not null"))
     links = scratch.cut(links.select(node(F.col("from_url")).alias("u"), node(F.col("to_url")).alias("v")).where("u <> v").distinct())
     host, path = host_and_path(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"), F.xxhash64(node(F.col("url"))).alias("node"))
+    own = pages.select("page_id", host.alias("host"), path.alias("path"), F.md5(node(F.col("url"))).alias("node"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.withColumn("rule", rule).withColumn("own", verdict)
     if links.isEmpty():
         return own.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(False).alias("aliased"))
-    parts = connected_components(links.select(F.xxhash64("u").alias("a"), F.xxhash64("v").alias("b")), scratch)
+    parts = connected_components(links.select(F.md5("u").alias("a"), F.md5("v").alias("b")), scratch)
     h, p = host_and_path(F.col("url"))
-    told = links.select(F.explode(F.array("u", "v")).alias("url")).distinct().select(F.xxhash64("url").alias("node"), rule_of(h, p, rules)[1].alias("v")).where("v = 'block'")
+    told = links.select(F.explode(F.array("u", "v")).alias("url")).distinct().select(F.md5("url").alias("node"), rule_of(h, p, rules)[1].alias("v")).where("v = 'block'")
     blocked = parts.join(told.select("node"), "node", "left_semi").select("component").distinct().withColumn("bad", F.lit(True))
     parts = parts.join(blocked, "component", "left").select("node", F.coalesce("bad", F.lit(False)).alias("bad"))
     out = own.join(parts, "node", "left")
