@@ -34,20 +34,27 @@ def plan_captures(items: DataFrame, held: DataFrame, taken: DataFrame) -> DataFr
     get -2, -3, … past what is taken, up to NAME_ATTEMPTS.
     """
     d = identify(items)
+    held = held.select("source_id", F.lit(True).alias("_held")).distinct()
+    # only sources meet in windows; texts have no source
     first = Window.partitionBy("source_id").orderBy("item_no")
-    d = d.join(held.select("source_id", F.lit(True).alias("_held")).distinct(), "source_id", "left")
-    again = (F.col("kind") == "source") & (F.col("_held").isNotNull() | (F.row_number().over(first) > 1))
-    d = d.withColumn("action", F.when(F.col("kind") == "refused", "refuse").when(again, "duplicate").otherwise("write"))
+    sources = d.where("kind = 'source'").join(held, "source_id", "left").withColumn("again", F.col("_held").isNotNull() | (F.row_number().over(first) > 1)).drop("_held")
+    d = sources.unionByName(d.where("kind <> 'source'").withColumn("again", F.lit(False)))
+    d = d.withColumn("action", F.when(F.col("kind") == "refused", "refuse").when(F.col("again"), "duplicate").otherwise("write"))
     # an inbox file is named by its moment and its words, a source by its id
     inbox = F.concat(stamp(F.col("at")), F.lit("-"), slug(F.col("item"), SLUG_LENGTH))
     d = d.withColumns({"folder": F.when(F.col("kind") == "source", "sources").otherwise("inbox"), "base": F.when(F.col("kind") == "source", F.col("source_id")).otherwise(inbox)})
     order = Window.partitionBy("folder", "base").orderBy("item_no")
     writes = d.where("action = 'write'").withColumn("turn", F.row_number().over(order))
-    # each name tries NAME_ATTEMPTS candidates; the turn-th free one is its own
-    tries = writes.select("folder", "base").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(NAME_ATTEMPTS))).alias("k"))
-    tries = tries.withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k").cast("string"))))
+    numbered = lambda k: F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string")))
+    # names that exist may stand in the way of a base: their own, or what is before their number
+    stem = F.regexp_extract("name", r"^(.*)-([0-9]+)$", 1)
+    ways = taken.select("folder", F.explode(F.array(F.col("name"), stem)).alias("base")).distinct()
+    contested = writes.select("folder", "base").distinct().join(ways, ["folder", "base"], "left_semi")
+    # candidates only for those: the turn-th free one is its own
+    tries = contested.select("*", F.explode(F.sequence(F.lit(1), F.lit(NAME_ATTEMPTS))).alias("k")).withColumn("name", numbered(F.col("k")))
     open_ = tries.join(taken.select("folder", "name"), ["folder", "name"], "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("folder", "base").orderBy("k")))
-    named = writes.join(open_.select("folder", "base", "turn", "name"), ["folder", "base", "turn"], "left")
+    named = writes.join(contested.withColumn("contested", F.lit(True)), ["folder", "base"], "left").join(open_.select("folder", "base", "turn", F.col("name").alias("free")), ["folder", "base", "turn"], "left")
+    named = named.withColumn("name", F.when(F.col("contested"), F.col("free")).when(F.col("turn") <= NAME_ATTEMPTS, numbered(F.col("turn"))))
     named = named.withColumn("action", F.when(F.col("name").isNull(), "refuse").otherwise(F.col("action"))).withColumn("reason", F.when(F.col("name").isNull(), F.concat(F.lit("no free name for "), "base")))
     rest = d.where("action <> 'write'").withColumn("name", F.lit(None).cast("string"))
     columns = ["item_no", "action", "kind", "folder", "name", "source_id", "item", "at", "reason"]

@@ -10,18 +10,33 @@ from ..functions.text import id_key, name_key, trim
 TIERS = ("name", "h1", "alias")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def link_target(c: Column) -> Column:
     """struct(name, fragment, display) of ``[[folder/Name.md#part|shown]]`` or the same without brackets."""
-    t = trim(c)
-    inner = F.when(t.rlike(r"(?s)\A\[\[.*\]\]\z"), F.substr(t, F.lit(3), F.length(t) - 4)).otherwise(t)
-    pipe = F.instr(inner, "|")
-    shown = F.when(pipe > 0, trim(F.substr(inner, pipe + 1, F.length(inner))))
-    inner = F.when(pipe > 0, F.substring_index(inner, "|", 1)).otherwise(inner)
-    mark = F.instr(inner, "#")
-    part = F.when(mark > 0, trim(F.substr(inner, mark + 1, F.length(inner))))
-    name = F.substring_index(trim(F.when(mark > 0, F.substring_index(inner, "#", 1)).otherwise(inner)), "/", -1)
-    name = F.when(F.lower(name).endswith(".md"), F.substr(name, F.lit(1), F.length(name) - 3)).otherwise(name)
-    return F.struct(trim(name).alias("name"), F.when(part != "", part).alias("fragment"), F.when(shown != "", shown).alias("display"))
+
+    def of(t: Column) -> Column:
+        inner = F.when(t.rlike(r"(?s)\A\[\[.*\]\]\z"), F.substr(t, F.lit(3), F.length(t) - 4)).otherwise(t)
+        return _let(inner, parts)
+
+    def parts(inner: Column) -> Column:
+        pipe = F.instr(inner, "|")
+        shown = F.when(pipe > 0, trim(F.substr(inner, pipe + 1, F.length(inner))))
+        target = F.when(pipe > 0, F.substring_index(inner, "|", 1)).otherwise(inner)
+        return _let(F.struct(shown.alias("shown"), target.alias("target")), lambda x: whole(x["target"], x["shown"]))
+
+    def whole(target: Column, shown: Column) -> Column:
+        mark = F.instr(target, "#")
+        part = F.when(mark > 0, trim(F.substr(target, mark + 1, F.length(target))))
+        name = F.substring_index(trim(F.when(mark > 0, F.substring_index(target, "#", 1)).otherwise(target)), "/", -1)
+        ends = lambda n: trim(F.when(F.lower(n).endswith(".md"), F.substr(n, F.lit(1), F.length(n) - 3)).otherwise(n))
+        none = F.lit(None).cast("string")
+        return F.struct(_let(name, ends).alias("name"), _let(part, lambda x: F.when(x != "", x).otherwise(none)).alias("fragment"), F.when(shown != "", shown).otherwise(none).alias("display"))
+
+    return _let(trim(c), of)
 
 
 def claims(documents: DataFrame) -> DataFrame:

@@ -64,8 +64,10 @@ def parse_manifest(texts: DataFrame) -> DataFrame:
         code = code.when(missing(p), "field-missing").when(~is_text(p), "field-malformed")
     code = code.when(missing("$.files"), "field-missing").when(raw.isNull() | ~item_ok, "field-malformed")
     parsed = texts.select("*", code.alias("shape"), text("$.toolkitVersion").alias("toolkit_version"), text("$.createdAt").alias("created_at"), files.alias("files"))
-    bad = F.filter(F.transform("files", lambda e, i: F.coalesce(path_refusal(e["path"]), F.when(F.array_position(F.transform("files", lambda x: x["path"]), e["path"]) <= i, "path-duplicated"), F.when(~e["sha256"].rlike(r"\A[0-9a-f]{64}\z"), "hash-malformed"))), lambda c: c.isNotNull())
-    return parsed.withColumn("code", F.coalesce("shape", F.when(F.col("shape").isNull(), F.get(bad, F.lit(0))))).drop("shape")
+    # entries are looked up among each other only where some path stands twice
+    parsed = parsed.withColumn("_twice", F.size(F.array_distinct("files.path")) < F.size("files"))
+    bad = F.filter(F.transform("files", lambda e, i: F.coalesce(path_refusal(e["path"]), F.when(F.col("_twice") & (F.array_position("files.path", e["path"]) <= i), "path-duplicated"), F.when(~e["sha256"].rlike(r"\A[0-9a-f]{64}\z"), "hash-malformed"))), lambda c: c.isNotNull())
+    return parsed.withColumn("code", F.coalesce("shape", F.when(F.col("shape").isNull(), F.get(bad, F.lit(0))))).drop("shape", "_twice")
 
 
 def drift(manifest: DataFrame, observed: DataFrame) -> DataFrame:

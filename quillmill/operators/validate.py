@@ -21,29 +21,37 @@ def _finding(rows: DataFrame, field, code: str, severity: str, reason, phase: in
     return rows.select("doc_no", "path", (F.lit(field) if field is None or isinstance(field, str) else field).cast("string").alias("field"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), reason.alias("reason"), F.lit(phase).alias("phase"), F.lit(rule).alias("rule"), (F.lit(0) if item is None else item).alias("item"))
 
 
+RULE = "array<struct<field:string,code:string,severity:string,reason:string,rule:int,item:int>>"
+
+
 def document_findings(documents: DataFrame) -> DataFrame:
-    """Rules that need one document only; an unreadable frontmatter stands alone."""
-    d = documents
-    read = d.where("parse_error is null")
-    blank = F.exists("derived_from", lambda e: id_key(e) == "")
-    own = id_key(F.col("id"))
-    itself = F.exists("derived_from", lambda e: id_key(e) == own) & (own != "")
+    """Rules that need one document only; an unreadable frontmatter stands alone.
+
+    A document's findings are one array, which is exploded once.
+    """
     q = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
-    keys = read.select("doc_no", "path", F.posexplode("duplicate_keys").alias("item", "key"))
-    scalars = read.select("doc_no", "path", F.posexplode("unread_scalars").alias("item", "key"))
-    lists = read.select("doc_no", "path", F.posexplode("unread_lists").alias("item", "key"))
-    dropped = read.select("doc_no", "path", F.posexplode("dropped").alias("item", "x"))
-    rules = [
-        _finding(d.where("parse_error is not null"), None, "frontmatter-unreadable", "error", F.concat(F.lit("the frontmatter is no readable mapping: "), "parse_error"), 0, 0),
-        _finding(keys, F.col("key"), "duplicate-key", "warning", F.concat(q(F.col("key")), F.lit(" occurs more than once; its last value holds")), 0, 1, F.col("item")),
-        _finding(scalars, F.col("key"), "field-not-text", "warning", F.concat(q(F.col("key")), F.lit(" is no single text value and was left out")), 0, 2, F.col("item")),
-        _finding(lists, F.col("key"), "field-not-list", "warning", F.concat(q(F.col("key")), F.lit(" is neither text nor a list and was left out")), 0, 3, F.col("item")),
-        _finding(dropped, F.col("x.field"), "list-item-unreadable", "warning", F.format_string("%d of %d items of `%s` are no text and were left out", "x.n", "x.of", "x.field"), 0, 3, F.col("item")),
-        _finding(read.where(F.col("id").isNotNull() & (trim(F.col("id")) == "")), "id", "id-blank", "error", F.lit("`id` is blank, so nothing can refer to this file"), 0, 4),
-        _finding(read.where(blank), "derived_from", "derived-from-blank", "error", F.lit("`derived_from` has a blank item"), 0, 5),
-        _finding(read.where(F.coalesce(itself, F.lit(False))), "derived_from", "derived-from-self", "error", F.concat(F.lit("`derived_from` refers to the file's own id "), q(trim(F.col("id")))), 0, 6),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    text = lambda c: F.lit(c).cast("string") if c is None or isinstance(c, str) else c
+
+    def one(field, code: str, severity: str, reason, rule: int, item=None):
+        return F.struct(text(field).alias("field"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), reason.alias("reason"), F.lit(rule).alias("rule"), (F.lit(0) if item is None else item).alias("item"))
+
+    none = F.array().cast(RULE)
+    own = id_key(F.col("id"))
+    each = lambda c, f: F.coalesce(F.transform(c, f).cast(RULE), none)
+    when = lambda test, found: F.when(F.coalesce(test, F.lit(False)), F.array(found).cast(RULE)).otherwise(none)
+    keys = F.transform("derived_from", lambda e: id_key(e))
+    read = F.concat(
+        each("duplicate_keys", lambda k, i: one(k, "duplicate-key", "warning", F.concat(q(k), F.lit(" occurs more than once; its last value holds")), 1, i)),
+        each("unread_scalars", lambda k, i: one(k, "field-not-text", "warning", F.concat(q(k), F.lit(" is no single text value and was left out")), 2, i)),
+        each("unread_lists", lambda k, i: one(k, "field-not-list", "warning", F.concat(q(k), F.lit(" is neither text nor a list and was left out")), 3, i)),
+        each("dropped", lambda x, i: one(x["field"], "list-item-unreadable", "warning", F.format_string("%d of %d items of `%s` are no text and were left out", x["n"], x["of"], x["field"]), 3, i)),
+        when(trim(F.col("id")) == "", one("id", "id-blank", "error", F.lit("`id` is blank, so nothing can refer to this file"), 4)),
+        when(F.array_contains(keys, ""), one("derived_from", "derived-from-blank", "error", F.lit("`derived_from` has a blank item"), 5)),
+        when((own != "") & F.array_contains(keys, own), one("derived_from", "derived-from-self", "error", F.concat(F.lit("`derived_from` refers to the file's own id "), q(trim(F.col("id")))), 6)),
+    )
+    unread = F.array(one(None, "frontmatter-unreadable", "error", F.concat(F.lit("the frontmatter is no readable mapping: "), "parse_error"), 0)).cast(RULE)
+    found = documents.select("doc_no", "path", F.explode(F.when(F.col("parse_error").isNotNull(), unread).otherwise(read)).alias("x"))
+    return found.select("doc_no", "path", "x.field", "x.code", "x.severity", "x.reason", F.lit(0).alias("phase"), "x.rule", "x.item")
 
 
 def cross_findings(documents: DataFrame) -> DataFrame:

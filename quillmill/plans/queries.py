@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
@@ -39,13 +42,15 @@ def graph_notes(spark, sf_dir):
     text = lambda c: c.cast("string")
     ident = lambda c: F.concat(F.lit("id-"), text(c))
     none = F.array().cast("array<string>")
-    derived = F.concat(F.array(ident(i * 7 % 1000)), F.when(i % 50 == 0, F.array(F.lit(" "))).otherwise(none), F.when(i % 37 == 0, F.array(F.concat(F.lit(" "), ident(i % 900), F.lit(" ")))).otherwise(none))
+    # every 17th takes the id before its own, and each derives from one of half its number
+    own = F.when(i % 17 == 5, ident(i - 1)).otherwise(ident(i))
+    derived = F.concat(F.array(ident(F.floor(i / 2))), F.when(i % 50 == 0, F.array(F.lit(" "))).otherwise(none), F.when(i % 37 == 0, F.array(F.concat(F.lit(" "), ident(i), F.lit(" ")))).otherwise(none), F.when(i % 29 == 0, F.array(F.lit("id-none"))).otherwise(none))
     about = F.array(F.concat(F.lit("[[notes/"), text(i * 3 % 1100), F.lit(".md#part|shown]]")), F.concat(F.lit("Title  "), text(i % 400)), F.concat(F.lit("[["), F.upper("source"), F.lit("]]")))
     return table(spark, sf_dir, "documents").select(
         i.alias("doc_no"),
         F.format_string("%s/%s.md", "source", text(i)).alias("path"),
         text(i).alias("name"),
-        F.when(i % 10 != 3, ident(i % 900)).when(i % 20 == 3, " ").alias("id"),
+        F.when(i % 10 != 3, own).when(i % 20 == 3, " ").alias("id"),
         F.when(i % 4 == 0, F.concat(F.lit("Title "), text(i % 300))).alias("h1"),
         F.array("source").alias("aliases"),
         derived.alias("derived_from"),
@@ -324,18 +329,40 @@ def scan_budget(spark, sf_dir):
 # --- evaluation ---
 
 
+#: Items that are looked for one by one in a row at a time, and anchors that are broadcast.
+SHORT_BLOCK = 500
+BROADCAST_ANCHORS = 500_000
+
+
 def _relevant(spark, sf_dir):
-    """Documents that hold a benchmark item verbatim; items are few and meet texts by their first words."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda c: F.split(F.regexp_replace(c, r"\s+", " "), " ")
-    start = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.array_join(F.slice(words(F.col("text")), 2, 3), " ").alias("g"))
-    # every three words of a text meet the items' second to fourth
+    """Documents that hold a benchmark item verbatim.
+
+    An item's inner words stand in a document as whole words, so up to three of them are its anchor, and
+    documents meet items by the anchors' equi join before the text is searched. Items without an inner
+    word are looked for in every text, in blocks of the stated set.
+    """
+    d, b = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "benchmark").where("text is not null")
+    words = lambda c: F.split(c, r"\s+")
+    gram = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    items = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), words(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(3)))
+    long = items.where("n > 0").select("query_id", "wanted", "n", gram("w", F.lit(2), F.col("n")).alias("g"))
+    anchors = F.broadcast(long) if long.count() <= BROADCAST_ANCHORS else long
     w = d.select("doc_id", "source", "text", words(F.col("text")).alias("w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    few = F.array(*[F.lit(r.g) for r in start.select("g").distinct().collect()]) if start.count() <= 1000 else None
-    met = F.array_intersect(grams, few) if few is not None else grams
-    hit = w.withColumn("g", F.explode(met)).join(start, "g").where(F.contains("text", F.col("wanted")))
-    return hit.select("query_id", F.format_string("%s/%s.md", "source", F.col("doc_id").cast("string")).alias("path")).distinct()
+    sizes = [r.n for r in long.select("n").distinct().collect()]
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), gram("w", i, F.lit(n)).alias("g")))
+    grams = [every(n) for n in sizes]
+    path = F.format_string("%s/%s.md", "source", F.col("doc_id").cast("string")).alias("path")
+    hits = [spark.createDataFrame([], "query_id long, path string")]
+    if sizes:
+        met = w.select("doc_id", "source", "text", F.explode(F.array_distinct(F.concat(*grams))).alias("x")).select("doc_id", "source", "text", "x.*").join(anchors, ["n", "g"])
+        hits.append(met.where(F.contains("text", F.col("wanted"))).select("query_id", path))
+    short = items.where("n <= 0").select("query_id", "wanted")
+    # blocks of a bounded number of items, each one row that is broadcast
+    blocks = short.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / SHORT_BLOCK))
+    for r in blocks.select("block").distinct().orderBy("block").toLocalIterator():
+        found = [F.struct(F.lit(x.query_id).alias("query_id"), F.lit(x.wanted).alias("wanted")) for x in blocks.where(F.col("block") == r.block).collect()]
+        hits.append(d.select("doc_id", "source", F.explode(F.filter(F.array(*found), lambda x: F.contains(F.col("text"), x["wanted"]))).alias("x")).select("x.query_id", path))
+    return reduce(DataFrame.unionByName, hits).distinct()
 
 
 def relevance(spark, sf_dir):

@@ -81,9 +81,9 @@ SEARCH = f"WITH {DOCS}, {WORDINGS}, {scoring('wd', METADATA_WEIGHT)}, {FUSED}"
 
 GRAPH = r"""g AS (
   SELECT doc_id AS doc_no, source || '/' || doc_id || '.md' AS path, CAST(doc_id AS VARCHAR) AS name, source,
-    CASE WHEN doc_id % 10 <> 3 THEN 'id-' || (doc_id % 900) WHEN doc_id % 20 = 3 THEN ' ' END AS id,
+    CASE WHEN doc_id % 10 <> 3 THEN 'id-' || (doc_id - (doc_id % 17 = 5)::INT) WHEN doc_id % 20 = 3 THEN ' ' END AS id,
     CASE WHEN doc_id % 4 = 0 THEN 'Title ' || (doc_id % 300) END AS h1,
-    list_concat(['id-' || (doc_id * 7 % 1000)], CASE WHEN doc_id % 50 = 0 THEN [' '] ELSE [] END, CASE WHEN doc_id % 37 = 0 THEN [' id-' || (doc_id % 900) || ' '] ELSE [] END) AS derived_from,
+    list_concat(['id-' || doc_id // 2], CASE WHEN doc_id % 50 = 0 THEN [' '] ELSE [] END, CASE WHEN doc_id % 37 = 0 THEN [' id-' || doc_id || ' '] ELSE [] END, CASE WHEN doc_id % 29 = 0 THEN ['id-none'] ELSE [] END) AS derived_from,
     ['[[notes/' || (doc_id * 3 % 1100) || '.md#part|shown]]', 'Title  ' || (doc_id % 400), '[[' || upper(source) || ']]'] AS about,
     [CAST(doc_id * 3 % 1100 AS VARCHAR), 'Title  ' || (doc_id % 400), upper(source)] AS about_names
   FROM documents),
