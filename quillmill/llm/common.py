@@ -165,6 +165,31 @@ def connected_components(edges: DataFrame, scratch: Scratch, steps: int | None =
     return out
 
 
+def released(run):
+    """A function for mapInArrow that gives its memory back when a task ends, since workers are used again
+    by later stages, which else hold what the largest task ever took."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_results(docs: DataFrame, keep: list[str], text: str, run, results: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and those of ``results`` (a schema), by an Arrow function.
 
@@ -178,7 +203,7 @@ def with_results(docs: DataFrame, keep: list[str], text: str, run, results: str)
     row = T.StructType([docs.schema[c] for c in keep])
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("none")).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([T.StructField("row", row if keep else given.schema["row"].dataType), *fields])
-    out = given.mapInArrow(run, schema)
+    out = given.mapInArrow(released(run), schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], *[f.name for f in fields])
 
 

@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, copied, hot_keys, salted, salted_join, slices, tasks_for
+from .common import Scratch, connected_components, copied, hot_keys, released, salted, salted_join, slices, tasks_for
 from .shingles import U, mix, shingle_sets
 
 WIDTH = 5
@@ -171,7 +171,7 @@ def _shared_counts(rows: DataFrame, source, tasks: int) -> DataFrame:
     """(doc_id, n, s1, s2, shared) of every document, and rows without doc_id: by s1, the sum of
     ``shared`` is how many of the shingles that ``source`` gives a set another set gives too, or more."""
     parts = 8 * tasks
-    return rows.mapInArrow(_packed(parts, source), PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, COUNTED)
+    return rows.mapInArrow(released(_packed(parts, source)), PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, COUNTED)
 
 
 def _full_sets(rows):
@@ -218,7 +218,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
     # many tasks' counts are added in two rounds, so that no task holds them all
     schema = "part long, salt long, counts binary"
-    counted = sets.select("tokens").mapInArrow(count, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    counted = sets.select("tokens").mapInArrow(released(count), schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros((1 << SKETCH_BITS) // chunk * chunk, dtype=np.uint32).reshape(-1, chunk)
     for r in counted.collect():
         out[r.part] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
@@ -285,8 +285,8 @@ def _with_both(pairs: DataFrame, n: int, side: DataFrame, columns: list[str], sc
 def _links(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = _with_both(pairs, pairs.count(), prefixes, ["p2", "p3"], scratch)
-    near = scratch.cut(near.mapInArrow(_share, "a long, b long").distinct())
-    out = scratch.cut(_with_both(near, near.count(), sets, ["tokens"], scratch).mapInArrow(_verify, "a long, b long"))
+    near = scratch.cut(near.mapInArrow(released(_share), "a long, b long").distinct())
+    out = scratch.cut(_with_both(near, near.count(), sets, ["tokens"], scratch).mapInArrow(released(_verify), "a long, b long"))
     scratch.drop(pairs, near)
     return out
 
@@ -365,7 +365,7 @@ def _link_all(sets: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFra
 
 
 def _nameless(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_full_sets, "rep long, n long, s1 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(released(_full_sets), "rep long, n long, s1 long, tokens binary").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
     open_ = scratch.cut(classes.join(total, "s1").where("shared >= 1 + n * 8 div 100").select(F.col("rep").alias("doc_id"), "s1", "s2"))
     if open_.count() <= BROADCAST_ROWS:
         open_ = F.broadcast(open_)
-    sets = scratch.cut(texts.join(open_, "doc_id").mapInArrow(_full_sets, "rep long, n long, s1 long, tokens binary"))
+    sets = scratch.cut(texts.join(open_, "doc_id").mapInArrow(released(_full_sets), "rep long, n long, s1 long, tokens binary"))
     # rows that repeat both id and text
     again = sets.groupBy("rep", "s1").agg(F.count("*").alias("k")).where("k > 1").select("rep", "s1")
     if not again.isEmpty():
@@ -399,7 +399,7 @@ def _joined(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
     common = scratch.cut(common.select("s1", F.least("shared", "n").alias("shared")))
     sets = scratch.cut(sets.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common, "s1"))
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
-    prefixes = scratch.cut(sets.mapInArrow(_prefixes(shared), "rep long, n long, shared long, bits array<long>, p1 array<long>, p2 binary, p3 binary"))
+    prefixes = scratch.cut(sets.mapInArrow(released(_prefixes(shared)), "rep long, n long, shared long, bits array<long>, p1 array<long>, p2 binary, p3 binary"))
     links = _link_all(sets, prefixes, scratch)
     # an id that stands in several classes (it was repeated with other texts) joins them
     twice = told.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")

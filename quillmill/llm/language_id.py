@@ -40,6 +40,7 @@ KEPT_OUT = 5  # every fifth row calibrates
 UNSEEN = 5_000  # characters that share the probability of unseen ones
 MARGIN = 2.0  # times the widest deviation among the rows that calibrate
 KNOWN_WORDS = 600_000
+SLICE_BYTES = 500_000  # of texts that are scored at once; arrays take some fifty times as much
 BEGIN, END = 0x110000, 0x110001
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -294,7 +295,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
         known = Known()
         for batch in batches:
             column = batch.column("text").fill_null("").cast(pa.large_string())
-            for i, j in slices(column):
+            for i, j in slices(column, SLICE_BYTES):
                 texts = column.slice(i, j - i).to_pylist()
                 got = shared.value.predict(texts, known) if shared.value else [("und", 0.0, None, False)] * len(texts)
                 p, s, c, a = zip(*got, strict=True)

@@ -21,6 +21,8 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 MARK = "▁"
 TABLE_CHARS = 5_000_000
 BATCH_TEXTS = 256
@@ -51,6 +53,10 @@ class Codec:
             _LOADED[model_path] = cls(model_path)
         return _LOADED[model_path]
 
+    def forget(self) -> None:
+        """Empties the table, when it is full and when a task ends: workers go on to other stages."""
+        self.table, self.odd, self.held = {}, {}, 0
+
     def _fill(self, chunks: list[str]) -> None:
         """Segments and decodes chunks that the table lacks, in one call of the library."""
         for chunk, ids in zip(chunks, self.sp.encode(chunks, num_threads=1), strict=True):
@@ -72,9 +78,7 @@ class Codec:
         # a chunk stands without its first marker and with spaces for the others
         split = [[c[1:] for c in _CHUNK.findall(" " + t)] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
         if self.held > TABLE_CHARS:
-            self.table.clear()
-            self.odd.clear()
-            self.held = 0
+            self.forget()
         get = self.table.__getitem__
         out = []
         for text, chunks in zip(texts, split, strict=True):
@@ -111,8 +115,9 @@ def encode_column(df: DataFrame, model_path: str, text: str = "text") -> DataFra
                 ends = np.cumsum([0] + [len(g[0]) // 4 for g in got])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(g[0] for g in got), dtype=np.uint32).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array([g[1] for g in got], pa.string())], names=[*keep, "ids", "decoded"])
+        codec.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def encode_digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,7 +135,8 @@ def encode_digests(df: DataFrame, model_path: str, key: str = "doc_id", text: st
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(released(run), f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("_key", key)

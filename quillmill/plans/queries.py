@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..operators import capture, evaluate, links, manifest, search, spans, validate
 from ..operators.stored import spread, stored
 from ..sources import corpus, markdown
-from . import boards
+from . import boards, files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -411,4 +411,4 @@ QUERIES = {
         manifest_build, manifest_refusals, manifest_drift, manifest_owned, manifest_merge, manifest_update, capture_plan, slugs, yaml_scalars, walk_order, scan_budget,
         relevance, retrieval_quality, context_cost, median_lengths, field_usage, about_usage,
     )
-} | boards.QUERIES
+} | boards.QUERIES | files.QUERIES

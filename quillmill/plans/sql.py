@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..constants import BM25_B, BM25_K1, METADATA_WEIGHT, STOP_WORDS, VIDEO_CANONICAL
-from . import boards
+from . import boards, files
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -227,4 +227,4 @@ UNION ALL SELECT '<least>', min(n) FROM n UNION ALL SELECT '<median>', min(n) FR
     "about_usage": f"WITH {GRAPH}, a AS (SELECT path, list_distinct(list_transform(about_names, lambda x: lower(x))) AS a, [lower(source), CAST(doc_no AS VARCHAR)] AS b FROM g) SELECT path, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS added, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS BIGINT) AS mirrored FROM a",
 }
 
-SQL |= boards.sql(NOTES, spans_of)
+SQL |= boards.sql(NOTES, spans_of) | files.sql(spans_of)
