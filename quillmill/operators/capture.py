@@ -57,7 +57,7 @@ def plan_captures(items: DataFrame, held: DataFrame, taken: DataFrame) -> DataFr
     named = named.withColumn("name", F.when(F.col("contested"), F.col("free")).when(F.col("turn") <= NAME_ATTEMPTS, numbered(F.col("turn"))))
     named = named.withColumn("action", F.when(F.col("name").isNull(), "refuse").otherwise(F.col("action"))).withColumn("reason", F.when(F.col("name").isNull(), F.concat(F.lit("no free name for "), "base")))
     rest = d.where("action <> 'write'").withColumn("name", F.lit(None).cast("string"))
-    columns = ["item_no", "action", "kind", "folder", "name", "source_id", "item", "at", "reason"]
+    columns = ["item_no", "action", "kind", "folder", "base", "name", "source_id", "item", "at", "reason"]
     return render(named.select(columns).unionByName(rest.select(columns)))
 
 
@@ -69,23 +69,38 @@ def render(plan: DataFrame) -> DataFrame:
     text = F.format_string("---\nid: %s\ncreated: %s\n---\n\n%s\n", ident, created, body)
     source = F.format_string("---\nid: %s\ncreated: %s\nurl: %s\n---\n\n%s\n", ident, created, yaml_quoted(body), body)
     content = F.when(F.col("action") == "write", F.when(F.col("kind") == "source", source).otherwise(text))
-    return plan.select("item_no", "action", "kind", F.when(F.col("action") == "write", F.col("folder")).alias("folder"), "name", F.when(F.col("action") != "refuse", ident).alias("id"), content.alias("content"), "reason")
+    return plan.select("item_no", "action", "kind", "base", F.when(F.col("action") == "write", F.col("folder")).alias("folder"), "name", F.when(F.col("action") != "refuse", ident).alias("id"), content.alias("content"), "reason")
 
 
 def commit_captures(plan: DataFrame, root: str) -> list[str]:
     """Writes the planned files one by one, in item order, never over an existing one; returns what was written.
 
-    The batch is what a person captured; rows come to the driver a partition at a time.
+    A name that was taken since the plan was made gives way to the next one of its base, up to
+    NAME_ATTEMPTS; an inbox file's id moves with its name, a source's does not. A name that leads outside
+    the root is passed over in the same way. The batch is what a person captured; rows come to the driver
+    a partition at a time.
     """
     done = []
     for r in plan.where("action = 'write'").orderBy("item_no").toLocalIterator():
         folder = os.path.join(root, r.folder)
-        os.makedirs(folder, exist_ok=True)
-        if not inside(folder, root):
-            raise ValueError(f"{r.folder} leads outside {root}")
-        with open(os.path.join(folder, r.name + ".md"), "x", encoding="utf-8", newline="") as f:
-            f.write(r.content)
-        done.append(f"{r.folder}/{r.name}.md")
+        if inside(folder, root):
+            os.makedirs(folder, exist_ok=True)
+        first = 1 if r.name == r.base else int(r.name.rsplit("-", 1)[1])
+        for attempt in range(first, NAME_ATTEMPTS + 1):
+            name = r.base if attempt == 1 else f"{r.base}-{attempt}"
+            path = os.path.join(folder, name + ".md")
+            if not inside(path, root):
+                continue
+            content = r.content if r.kind == "source" else r.content.replace(f"id: {r.name}\n", f"id: {name}\n", 1)
+            try:
+                with open(path, "x", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            except FileExistsError:
+                continue
+            done.append(f"{r.folder}/{name}.md")
+            break
+        else:
+            raise FileExistsError(f"no unused name was free in {r.folder}/ after {NAME_ATTEMPTS} tries; {len(done)} files of the batch are written")
     return done
 
 

@@ -19,6 +19,13 @@ def context_cost(results: DataFrame, sizes: DataFrame, payloads: DataFrame | Non
     return out
 
 
+def context_economy(cost: DataFrame) -> DataFrame:
+    """One row (questions, text_bytes, whole_note_bytes, saving): what results hold against their whole files,
+    summed over questions; a saving of 2 means half the bytes, cut to two decimals."""
+    out = cost.agg(F.count("*").alias("questions"), F.sum("text_bytes").alias("text_bytes"), F.sum("whole_note_bytes").alias("whole_note_bytes"))
+    return out.withColumn("saving", F.floor(F.col("whole_note_bytes") * 100 / F.col("text_bytes")) / 100)
+
+
 def first_hits(results: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, first_rank): the best rank of a relevant result; ``relevant`` is (query_id, path)."""
     return results.join(relevant.select("query_id", "path").distinct(), ["query_id", "path"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
@@ -31,7 +38,7 @@ def relevant_by_rule(results: DataFrame, expected: DataFrame) -> DataFrame:
     """
     norm = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
     by_file = F.contains(norm(F.col("path")), norm(F.col("file"))) & (F.col("want").isNull() | F.contains(norm(F.concat_ws(" ", "anchor", "trail")), norm(F.col("want"))))
-    by_text = F.col("text").rlike(F.concat(F.lit("(?i)"), F.col("pattern")))
+    by_text = F.rlike("text", F.concat(F.lit("(?i)"), F.col("pattern")))
     rules = expected.withColumnRenamed("anchor", "want")
     return results.join(rules, "query_id").where(F.coalesce(by_file, F.lit(False)) | F.coalesce(by_text, F.lit(False))).select("query_id", "path").distinct()
 

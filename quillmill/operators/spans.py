@@ -120,3 +120,24 @@ def first_h1(body: Column) -> Column:
         )
 
     return F.aggregate(lines, state, step, lambda s: s["found"])
+
+
+def page_sections(text: Column) -> Column:
+    """array<struct(heading, slug, body)>: a text cut at its ``## `` lines outside code fences.
+
+    What stands before the first heading is left out; bodies are trimmed of white space. Only lines that
+    open a fence or a section are folded over; bodies are slices between them.
+    """
+
+    def cut(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("```") | x.rlike(r"\A## .+\z"), F.struct((i + 1).alias("at"), x.startswith("```").alias("fence")))), lambda m: m.isNotNull())
+        start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("heads"))
+        step = lambda s, m: F.struct((s["fenced"] != m["fence"]).alias("fenced"), F.when(m["fence"] | s["fenced"], s["heads"]).otherwise(F.concat(s["heads"], F.array(m["at"]))).alias("heads"))
+        return F.transform(F.array(F.aggregate(marked, start, step, lambda s: s["heads"])), lambda heads: F.transform(heads, lambda h, k: one(lines, h, F.coalesce(F.get(heads, k + 1), F.size(lines) + 1))))[0]
+
+    def one(lines: Column, at: Column, end: Column) -> Column:
+        heading = F.substr(F.element_at(lines, at), F.lit(4))
+        slug = F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9]+", "-"), "^-|-$", "")
+        return F.struct(heading.alias("heading"), slug.alias("slug"), trim(F.array_join(F.slice(lines, at + 1, end - at - 1), "\n")).alias("body"))
+
+    return F.transform(F.array(lines_of(F.coalesce(text, F.lit("")))), cut)[0]

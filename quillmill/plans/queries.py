@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import colour
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import capture, evaluate, links, manifest, search, spans, validate
@@ -126,6 +127,16 @@ def search_text_sink(spark, sf_dir):
     return search.text_results(out.withColumn("score", F.round("score", 9)), "/notes/")
 
 
+def search_report(spark, sf_dir):
+    """What a person reads for the questions and for as many that no passage shares a word with."""
+    asked = wordings(spark, sf_dir).where("wording_no = 0")
+    lost = asked.select((-F.col("query_id") - 1).alias("query_id"), "wording_no", F.concat(F.lit("zzq"), F.md5("wording")).alias("wording"))
+    both = asked.unionByName(lost)
+    found = search.search(doc_passages(spark, sf_dir), both, 1)
+    report = search.text_report(found.withColumn("score", F.lit(0.5)), both, "/notes/", True)
+    return report.select("query_id", F.md5("out").alias("digest"), F.length("err").cast("long").alias("err"))
+
+
 def search_json_sink(spark, sf_dir):
     asked = wordings(spark, sf_dir)
     out = search.search(doc_passages(spark, sf_dir), asked)
@@ -386,6 +397,36 @@ def context_cost(spark, sf_dir):
     return evaluate.context_cost(out, sizes)
 
 
+def context_economy(spark, sf_dir):
+    return evaluate.context_economy(context_cost(spark, sf_dir))
+
+
+def relevance_rules(spark, sf_dir):
+    """Results that rules call relevant: by their file's folder, or by a pattern in their text."""
+    b = table(spark, sf_dir, "benchmark").where("text is not null")
+    word = F.lower(F.regexp_extract("text", r"([A-Za-z]{4,})", 1))
+    none = F.lit(None).cast("string")
+    rules = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("SRC"), (F.col("item_id") % 10).cast("string"), F.lit("\\"))).alias("file"), none.alias("anchor"), F.when(F.col("item_id") % 2 == 1, F.concat(word, F.lit(r"[ .,]"))).alias("pattern"))
+    out = search.search(doc_passages(spark, sf_dir), wordings(spark, sf_dir)).withColumn("trail", F.lit(""))
+    return evaluate.relevant_by_rule(out, rules)
+
+
+def doc_sections(spark, sf_dir):
+    """Sections of the documents, headings and code fences being written among their lines."""
+    lines = F.split("text", "\n", -1)
+    marked = F.transform(lines, lambda x, i: F.when((i + F.col("doc_id")) % 5 == 2, F.concat(F.lit("## Part "), i.cast("string"), F.lit(" - é!\n"), x)).when((i + F.col("doc_id")) % 7 == 3, F.concat(F.lit("```js\n"), x)).otherwise(x))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(spans.page_sections(F.array_join(marked, "\n"))).alias("s"))
+    return d.select("doc_id", "s.heading", "s.slug", F.md5("s.body").alias("digest"))
+
+
+def colour_contrast(spark, sf_dir):
+    """Contrast of two colours that each document's digest gives."""
+    h = F.md5("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("#"), F.substring(h, 1, 6)).alias("a"), F.when(F.col("doc_id") % 9 != 4, F.concat(F.lit("#"), F.substring(h, 7, 6))).otherwise("#12345").alias("b"))
+    ratio = colour.contrast(F.col("a"), F.col("b"))
+    return d.select("doc_id", F.when(ratio.isNotNull(), colour.shown(ratio)).alias("ratio"), colour.meets(ratio, "text").alias("text"), colour.meets(ratio, "large").alias("large"))
+
+
 def median_lengths(spark, sf_dir):
     return evaluate.median(table(spark, sf_dir, "documents").withColumn("n", F.length("text")), "n", "lang")
 
@@ -405,10 +446,10 @@ def about_usage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fused_search, tokens_per_doc, term_stats, corpus_stats, metadata_documents, bm25_single, bm25_two_field, rrf_fused, suppress_duplicates, search_text_sink, search_json_sink,
+        fused_search, tokens_per_doc, term_stats, corpus_stats, metadata_documents, bm25_single, bm25_two_field, rrf_fused, suppress_duplicates, search_text_sink, search_report, search_json_sink,
         sections, heading_trail, spans_divided, span_addresses, first_h1, url_identity, url_groups, url_youtube, redact_urls, source_dedup, source_lookup,
         link_parse, resolve_names, resolve_ids, duplicate_ids, backlinks, findings, findings_by_severity, edge_survival,
         manifest_build, manifest_refusals, manifest_drift, manifest_owned, manifest_merge, manifest_update, capture_plan, slugs, yaml_scalars, walk_order, scan_budget,
-        relevance, retrieval_quality, context_cost, median_lengths, field_usage, about_usage,
+        relevance, relevance_rules, retrieval_quality, context_cost, context_economy, doc_sections, colour_contrast, median_lengths, field_usage, about_usage,
     )
 } | boards.QUERIES | files.QUERIES

@@ -228,3 +228,41 @@ UNION ALL SELECT '<least>', min(n) FROM n UNION ALL SELECT '<median>', min(n) FR
 }
 
 SQL |= boards.sql(NOTES, spans_of) | files.sql(spans_of)
+
+_LOST = "No passage shares a word with that question.\nTry other wordings: that is what this kind of search works by.\n"
+_UNREAD = "/notes/ holds more files than one search reads, so this ranking covers only a part of it.\n"
+
+
+def _share(c: str, at: int) -> str:
+    x = f"(CAST('0x' || substr({c}, {at}, 2) AS INTEGER) / 255.0::DOUBLE)"
+    return f"(CASE WHEN {x} <= 0.03928 THEN {x} / 12.92 ELSE pow(({x} + 0.055) / 1.055, 2.4) END)"
+
+
+def _light(c: str) -> str:
+    return f"0.2126::DOUBLE * {_share(c, 2)} + 0.7152::DOUBLE * {_share(c, 4)} + 0.0722::DOUBLE * {_share(c, 6)}"
+
+
+SQL |= {
+    "search_report": f"""WITH {DOCS}, w1 AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark WHERE text IS NOT NULL),
+wd AS (SELECT query_id, 0 AS wording_no, array_to_string(w[1:8], ' ') AS wording FROM w1), {scoring('wd', METADATA_WEIGHT)}, {FUSED},
+al AS (SELECT query_id FROM wd UNION ALL SELECT -query_id - 1 FROM wd)
+SELECT al.query_id, md5(coalesce(path || ':' || start_line || '-' || end_line || '  score 0.5000' || chr(10) || '/notes/' || path || chr(10)
+  || array_to_string(list_transform(string_split(t.text, chr(10)), lambda x: CASE WHEN x = '' THEN '' ELSE '    ' || x END), chr(10)) || chr(10), '{_LOST}')) AS digest, {len(_UNREAD)} AS err
+FROM al LEFT JOIN tp5 t ON t.query_id = al.query_id AND rank = 1""",
+    "context_economy": f"SELECT count(*) AS questions, CAST(sum(text_bytes) AS BIGINT) AS text_bytes, CAST(sum(whole_note_bytes) AS BIGINT) AS whole_note_bytes, floor(sum(whole_note_bytes)::DOUBLE * 100 / sum(text_bytes)) / 100 AS saving FROM ({SQL['context_cost']})",
+    "relevance_rules": rf"""{SEARCH}, ru AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id % 10 || '/' END AS file, CASE WHEN item_id % 2 = 1 THEN '(?i)' || lower(regexp_extract(text, '([A-Za-z]{{4,}})', 1)) || '[ .,]' END AS pattern FROM benchmark WHERE text IS NOT NULL)
+SELECT DISTINCT query_id, path FROM tp5 JOIN ru ON item_id = query_id WHERE rank <= 5 AND (coalesce(contains(lower(path), file), false) OR coalesce(regexp_matches(tp5.text, pattern), false))""",
+    "doc_sections": r"""WITH l0 AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+l1 AS (
+  SELECT doc_id, i, 0 AS k, CASE WHEN (i + doc_id) % 5 = 2 THEN '## Part ' || i || ' - é!' WHEN (i + doc_id) % 7 = 3 THEN '```js' END AS line FROM l0
+  UNION ALL SELECT doc_id, i, 1, line FROM l0),
+l2 AS (SELECT *, count(*) FILTER (starts_with(line, '```')) OVER (PARTITION BY doc_id ORDER BY i, k) % 2 = 1 AS fenced FROM l1 WHERE line IS NOT NULL),
+l3 AS (SELECT *, NOT fenced AND regexp_full_match(line, '## .+') AS head FROM l2),
+l4 AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY i, k) AS part FROM l3),
+p AS (SELECT doc_id, part, max(substr(line, 4)) FILTER (head) AS heading, coalesce(string_agg(line, chr(10) ORDER BY i, k) FILTER (NOT head), '') AS body FROM l4 WHERE part > 0 GROUP BY ALL)
+SELECT doc_id, heading, regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, md5(regexp_replace(regexp_replace(body, '^\s+', ''), '\s+$', '')) AS digest FROM p""",
+    "colour_contrast": f"""WITH c AS (SELECT doc_id, '#' || substr(md5(text), 1, 6) AS a, '#' || substr(md5(text), 7, 6) AS b FROM documents),
+l AS (SELECT doc_id, {_light("a")} AS x, {_light("b")} AS y FROM c),
+r AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 4 THEN floor((greatest(x, y) + 0.05) / (least(x, y) + 0.05) * 100) / 100 END AS r FROM l)
+SELECT doc_id, printf('%.2f', r) AS ratio, r >= 4.5 AS text, r >= 3 AS large FROM r""",
+}

@@ -1,9 +1,11 @@
 import datetime
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.functions import colour
 from quillmill.operators import capture, evaluate, init, links, manifest, search, spans, validate
 from quillmill.sources import frontmatter as M
 from quillmill.sources.generated import generate_corpus
@@ -110,8 +112,36 @@ def test_capture(spark, tmp_path):
     assert plan[1].content == '---\nid: url-3641c5f2274c\ncreated: 2024-05-06T07:08:09+00:00\nurl: "https://example.com/page"\n---\n\nhttps://example.com/page\n'
     written = capture.commit_captures(capture.plan_captures(d, held, taken), str(tmp_path))
     assert len(written) == 4 and (tmp_path / written[0]).exists()
+    # names that were taken since the plan give way to the next ones; an inbox file's id moves with its name
+    again = capture.commit_captures(capture.plan_captures(d, held, taken), str(tmp_path))
+    assert again == ["inbox/20240506-070809-a-thought-kept-3.md", "sources/url-3641c5f2274c-2.md", "inbox/20240506-070809-a-thought-kept-4.md", "inbox/20240506-070809-word-3.md"]
+    assert "id: 20240506-070809-word-3\n" in (tmp_path / again[3]).read_text() and "id: url-3641c5f2274c\n" in (tmp_path / again[1]).read_text()
+    (tmp_path / "out").mkdir()
+    os.symlink(tmp_path, tmp_path / "out" / "inbox")
     with pytest.raises(FileExistsError):
-        capture.commit_captures(capture.plan_captures(d, held, taken), str(tmp_path))
+        capture.commit_captures(capture.plan_captures(d.where("item_no = 0"), held, taken), str(tmp_path / "out"))
+
+
+def test_many_captures_of_one_moment(spark):
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    d = spark.createDataFrame([(i, ["same", "same", "", " "][i % 4], at) for i in range(240)], "item_no int, item string, at timestamp")
+    taken = spark.createDataFrame([("inbox", "20240506-070809-same-7"), ("inbox", "20240506-070809-same-x")], "folder string, name string")
+    plan = capture.plan_captures(d, spark.createDataFrame([], "source_id string"), taken).collect()
+    names = [r.name for r in plan if r.action == "write"]
+    assert len(names) == len(set(names)) and "20240506-070809-same-7" not in names
+    assert sum(r.item_no % 4 < 2 and r.action == "refuse" for r in plan) == 120 - 99
+
+
+def test_contrast_and_sections(spark):
+    pairs = [("#000000", "#ffffff", "21.00"), ("#FFFFFF", "#ffffff", "1.00"), ("#777777", "#ffffff", "4.47"), ("#12345", "#ffffff", None), (None, "#ffffff", None)]
+    d = spark.createDataFrame(pairs, "a string, b string, want string")
+    ratio = colour.contrast(F.col("a"), F.col("b"))
+    assert all(r.got == r.want for r in d.select("want", F.when(ratio.isNotNull(), colour.shown(ratio)).alias("got")).collect())
+    texts = ["no\n## A b!\n\nx\n```\n## in\n```\n## C\n## \n##D\n## É", "", None, "```\n## never closed", "## A\n" + "line\n" * 20_000]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = {r.i: [(s.heading, s.slug, s.body) for s in r.s] for r in t.select("i", spans.page_sections(F.col("t")).alias("s")).collect()}
+    assert got[0] == [("A b!", "a-b", "x\n```\n## in\n```"), ("C", "c", "## \n##D"), ("É", "", "")] and got[1] == got[2] == got[3] == []
+    assert len(got[4][0][2]) == 5 * 20_000 - 1
 
 
 def test_stream(spark, tmp_path):
