@@ -30,8 +30,20 @@ def entry_refusals(entries: DataFrame) -> DataFrame:
     return entries.withColumn("code", F.coalesce(path_refusal(F.col("path")), again, F.when(~F.col("sha256").rlike(r"\A[0-9a-f]{64}\z"), "hash-malformed")))
 
 
+def manifest_rows(entries: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(ok, code, path, sha256): all entries in the order of their paths, a row each, or, if any is refused,
+    one row with the first refusal. Entries are dealt by ranges of paths and never gathered."""
+    checked = entry_refusals(entries)
+    first = checked.where("code is not null").agg(F.min(F.struct("entry_no", "code", "path")).alias("bad"))
+    tasks = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the other side is one row
+    sound = checked.join(F.broadcast(first.where("bad is null"))).select(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("code"), "path", "sha256")
+    refused = first.where("bad is not null").select(F.lit(False).alias("ok"), "bad.code", "bad.path", F.lit(None).cast("string").alias("sha256"))
+    return sound.unionByName(refused).repartitionByRange(tasks, "path").sortWithinPartitions("path")
+
+
 def build_manifest(entries: DataFrame) -> DataFrame:
-    """One row (ok, code, path, files): the first refusal in entry order, or the entries sorted by path."""
+    """For a manifest that is one file: one row (ok, code, path, files): the first refusal in entry order, or the entries sorted by path."""
     checked = entry_refusals(entries)
     first = F.min(F.when(F.col("code").isNotNull(), F.struct("entry_no", "code", "path")))
     files = F.array_sort(F.collect_list(F.struct("path", "sha256")))

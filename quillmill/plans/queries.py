@@ -263,7 +263,7 @@ def _hashed(spark, sf_dir):
 
 
 def manifest_build(spark, sf_dir):
-    return manifest.build_manifest(_hashed(spark, sf_dir)).select("ok", "code", F.explode("files").alias("f")).select("ok", "code", "f.path", "f.sha256")
+    return manifest.manifest_rows(_hashed(spark, sf_dir))
 
 
 def manifest_refusals(spark, sf_dir):

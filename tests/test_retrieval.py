@@ -91,6 +91,9 @@ def test_manifest(spark):
     h = "0" * 64
     entries = spark.createDataFrame([(0, "b.md", h), (1, "a.md", h)], "entry_no int, path string, sha256 string")
     built = manifest.build_manifest(entries)
+    assert [tuple(r) for r in manifest.manifest_rows(entries).collect()] == [(True, None, "a.md", h), (True, None, "b.md", h)]
+    refused = entries.unionByName(spark.createDataFrame([(3, "/c", h), (2, "a.md", h), (4, "", h)], entries.schema))
+    assert [tuple(r) for r in manifest.manifest_rows(refused).collect()] == [(False, "path-duplicated", "a.md", None)] and manifest.manifest_rows(entries.where("false")).count() == 0
     text = manifest.manifest_json(built, "1.0", "2024-01-01").first().text
     cases = [text, "{", "[]", '{"manifestVersion": 2}', '{"manifestVersion": 1, "createdAt": "x", "files": []}', '{"manifestVersion": 1, "toolkitVersion": 3, "createdAt": "x", "files": []}', '{"manifestVersion": 1, "toolkitVersion": "1", "createdAt": "x", "files": [{"path": 1, "sha256": "a"}]}', text.replace("a.md", "b.md"), text.replace("a.md", "../a"), text.replace(h, "zz", 1)]
     got = manifest.parse_manifest(spark.createDataFrame(list(enumerate(cases)), "i int, text string")).orderBy("i").collect()
