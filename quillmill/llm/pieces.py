@@ -8,7 +8,8 @@ task keeps a table chunk -> (ids, decoded text), asks the library once for each
 joins the ids back by position; decoded text is kept only where it is not the chunk's own. The table is emptied when it holds ``TABLE_CHARS`` characters, which
 bounds memory and changes no result. A model of another kind is given whole texts.
 
-Null and empty texts have the begin and end ids only and decode to "". Columns of other names pass
+Null and empty texts have the begin and end ids only and decode to "". Texts of any length are encoded
+whole; rows that repeat are answered each; an empty table stays empty. Columns of other names pass
 through ``encode_column`` unchanged; if one has the name of a result column, it is replaced.
 """
 
