@@ -13,7 +13,8 @@ The lexicon is learned from document frequencies in labelled rows, its curve fro
 sample of about ``ROWS`` of each label, by a hash of the id. In it copies and near copies count as one
 document (they share a least shingle hash), so that the words of a text that is often copied are not
 taken for signs of its label; entries found in fewer than one toxic document of 80, or ``LEAST`` of
-them, are left out. Texts of any length are learned from and scored whole.
+them, are left out, and of what is left the ``ENTRIES`` of the most weight stay. Texts of any length are
+learned from and scored whole.
 
 Null, empty and wordless texts get the score of no match. Without a toxic labelled row all scores
 are 0. Repeated rows are answered each; an id labelled twice has the larger label. An empty table
