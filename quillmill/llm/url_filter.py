@@ -67,6 +67,11 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))).otherwise(path)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _plain_percent(url: Column) -> Column:
     """Percent signs that stand for unreserved characters resolved, others with upper-case digits."""
     code = lambda x: F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
@@ -81,29 +86,38 @@ def _plain_percent(url: Column) -> Column:
 
 def node(url: Column) -> Column:
     """The one spelling of a url: scheme and host in lower case, no default port, no dot segments, no fragment."""
-    url = _plain_percent(url)
-    plain = F.regexp_replace(F.trim(url), r"#[\s\S]*$", "")
-    part = lambda i: F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*@)?([^/?@]*?)(:[0-9]*)?(/[^?]*)?(\?[\s\S]*)?$", i)
-    scheme, port = _lower(part(1)), part(4)
-    default = (port == ":") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443")
-    path = F.when(part(5) == "", "/").otherwise(_without_dots(part(5)))
-    return F.when(part(1) != "", F.concat(scheme, F.lit("://"), part(2), _lower(part(3)), F.when(default, "").otherwise(port), path, part(6))).otherwise(plain)
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*@)?([^/?@]*?)(:[0-9]*)?(/[^?]*)?(\?[\s\S]*)?$"
+
+    def spell(plain: Column) -> Column:
+        parts = F.struct(plain.alias("plain"), *[F.regexp_extract(plain, pattern, i).alias(f"p{i}") for i in range(1, 7)])
+        return _let(parts, joined)
+
+    def joined(x: Column) -> Column:
+        scheme, port = _lower(x["p1"]), x["p4"]
+        default = (port == ":") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443")
+        path = F.when(x["p5"] == "", "/").otherwise(_without_dots(x["p5"]))
+        return F.when(x["p1"] != "", F.concat(scheme, F.lit("://"), x["p2"], _lower(x["p3"]), F.when(default, "").otherwise(port), path, x["p6"])).otherwise(x["plain"])
+
+    return _let(F.regexp_replace(F.trim(_plain_percent(url)), r"#[\s\S]*$", ""), spell)
 
 
 def absolute(link: Column, base: Column) -> Column:
     """A link resolved against an address; null for what is no address itself (mailto: and the like)."""
-    link = F.regexp_replace(F.trim(link), r"#[\s\S]*$", "")
-    scheme, whole = F.regexp_extract(base, "^([^:]*)://", 1), F.regexp_replace(base, r"#[\s\S]*$", "")
-    origin = F.regexp_extract(whole, "^([^:]*://[^/?]*)", 1)
-    folder = F.regexp_extract(whole, r"^([^:]*://[^/?]*(?:/[^?]*/|/)?)", 1)
-    return (
-        F.when(link == "", whole)
-        .when(link.rlike(SCHEME), F.when(link.rlike(SCHEME + "//"), link))
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(F.substring_index(whole, "?", 1), link))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
-    )
+
+    def of(x: Column) -> Column:
+        link, base, whole = x["link"], x["base"], x["whole"]
+        folder = F.regexp_extract(whole, r"^([^:]*://[^/?]*(?:/[^?]*/|/)?)", 1)
+        return (
+            F.when(link == "", whole)
+            .when(link.rlike(SCHEME), F.when(link.rlike(SCHEME + "//"), link))
+            .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*)://", 1), F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(F.regexp_extract(whole, "^([^:]*://[^/?]*)", 1), link))
+            .when(link.startswith("?"), F.concat(F.substring_index(whole, "?", 1), link))
+            .otherwise(_let(folder, lambda f: F.concat(F.when(f.endswith("/"), f).otherwise(F.concat(f, F.lit("/"))), link)))
+        )
+
+    plain = F.regexp_replace(F.trim(link), r"#[\s\S]*$", "")
+    return _let(base, lambda b: _let(F.struct(plain.alias("link"), b.alias("base"), F.regexp_replace(b, r"#[\s\S]*$", "").alias("whole")), of))
 
 
 COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
