@@ -22,6 +22,11 @@ from ..constants import STOP_WORDS
 SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def let(c: Column, use) -> Column:
+    """``use`` of ``c``, which is evaluated once however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
 
@@ -99,9 +104,12 @@ def id_key(c: Column, exact: bool = False) -> Column:
 def slug(c: Column, length: int) -> Column:
     """A file name of letters, numbers and hyphens, cut back to a whole word; empty becomes ``capture``."""
     words = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    cut = F.substring(words, 1, length)
-    back = F.regexp_extract(cut, r"^(.+)-[^-]*$", 1)
-    return F.when(words == "", "capture").when(F.length(words) <= length, words).when(back != "", back).otherwise(cut)
+
+    def shorter(cut: Column) -> Column:
+        back = F.regexp_extract(cut, r"^(.+)-[^-]*$", 1)
+        return F.when(back != "", back).otherwise(cut)
+
+    return let(words, lambda w: F.when(w == "", "capture").when(F.length(w) <= length, w).otherwise(let(F.substring(w, 1, length), shorter)))
 
 
 def yaml_quoted(c: Column) -> Column:
@@ -124,8 +132,8 @@ def yaml_scalar(c: Column) -> Column:
 def redact(c: Column) -> Column:
     """A value for a message: credentials out first, then cut to 77 characters and dots, quoted."""
     safe = F.regexp_replace(c, r"//[^/?#@\s]*@", "//<redacted>@")
-    shown = F.when(F.length(safe) > 80, F.concat(F.substring(safe, 1, 77), F.lit("..."))).otherwise(safe)
-    return F.when(shown == "", "an empty string").otherwise(F.concat(F.lit('"'), shown, F.lit('"')))
+    shown = lambda x: F.when(F.length(x) > 80, F.concat(F.substring(x, 1, 77), F.lit("..."))).otherwise(x)
+    return let(safe, lambda x: F.when(x == "", "an empty string").otherwise(F.concat(F.lit('"'), shown(x), F.lit('"'))))
 
 
 def stamp(at: Column) -> Column:

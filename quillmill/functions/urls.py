@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DIGEST_LENGTH, VIDEO_CANONICAL, VIDEO_HOSTS, VIDEO_PREFIXES, VIDEO_SHORT_HOSTS
-from .text import redact, trim
+from .text import let, redact, trim
 
 KEY = r"^[A-Za-z0-9_-]{11}\z"
 RESULT = "ok boolean, url string, rule string, key string, code string, reason string"
@@ -44,41 +44,62 @@ def is_plain(c: Column) -> Column:
     return t.rlike(PLAIN) & ~t.rlike(r"[\\\"<>`{}|^']|/\.{1,2}(?:[/?#]|\z)|(?i)/%2e|\?[^#]*[%~!()]|:\d+[/?#]?.*[^\x00-\x7F]")
 
 
-def normalize_url(c: Column) -> Column:
-    """struct(ok, url, rule, key, code, reason) for plain inputs and for what is no http url at all."""
-    t = trim(c)
-    scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+def _parts(t: Column) -> Column:
     authority = F.regexp_replace(F.regexp_extract(t, r"^[^:]+://([^/?#]*)", 1), "^[^@]*@", "")
-    host = F.lower(F.regexp_replace(authority, r":\d*$", ""))
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
+    scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.struct(t.alias("text"), scheme.alias("scheme"), authority.alias("authority"), F.regexp_extract(t, r"^[^:]+://[^/?#]*(.*)$", 1).alias("rest"))
+
+
+def _pieces(a: Column) -> Column:
+    pairs = F.filter(F.split(F.regexp_extract(a["rest"], r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    path = let(F.regexp_extract(a["rest"], r"^([^?#]*)", 1), lambda p: F.when(p == "", "/").otherwise(p))
+    return F.struct(
+        a["text"].alias("text"),
+        a["scheme"].alias("scheme"),
+        F.lower(F.regexp_replace(a["authority"], r":\d*$", "")).alias("host"),
+        F.regexp_extract(a["authority"], r":(\d+)$", 1).alias("port"),
+        path.alias("path"),
+        pairs.alias("pairs"),
+        F.regexp_extract(a["rest"], r"(#.*)$", 1).alias("fragment"),
+    )
+
+
+def _normalized(p: Column) -> Column:
+    scheme, host, port, path, pairs, fragment = (p[x] for x in ("scheme", "host", "port", "path", "pairs", "fragment"))
     default = F.when(scheme == "https", "443").otherwise("80")
     shown_port = F.when((port == "") | (port.try_cast("int") == default.cast("int")), "").otherwise(F.concat(F.lit(":"), port.try_cast("int").cast("string")))
-    rest = F.regexp_extract(t, r"^[^:]+://[^/?#]*(.*)$", 1)
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(rest, r"(#.*)$", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    keyed = F.transform(pairs, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    keyed = F.transform(pairs, lambda x, i: F.struct(F.regexp_extract(x, "^([^=]*)", 1).alias("k"), i.alias("i"), F.when(F.contains(x, F.lit("=")), x).otherwise(F.concat(x, F.lit("="))).alias("p")))
     ordered = F.array_join(F.transform(F.array_sort(keyed), lambda x: _form(x["p"])), "&")
-    v = F.get(F.filter(pairs, lambda p: p.startswith("v=")), F.lit(0))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    video = _video(host, segments, F.substr(v, F.lit(3), F.length(v)))
+    search = let(ordered, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("?"), x)))
+    v = F.get(F.filter(pairs, lambda x: x.startswith("v=")), F.lit(0))
+    video = let(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: _video(host, s, F.substr(v, F.lit(3), F.length(v))))
     shorter = F.when((F.length(path) > 1) & path.endswith("/"), F.substr(path, F.lit(1), F.length(path) - 1)).otherwise(path)
     route = F.when(fragment.startswith("#/"), fragment).otherwise("")
-    url = F.concat(scheme, F.lit("://"), host, shown_port, shorter, F.when(ordered == "", "").otherwise(F.concat(F.lit("?"), ordered)), route)
+    url = F.concat(scheme, F.lit("://"), host, shown_port, shorter, search, route)
     none = F.lit(None).cast("string")
     code = F.when(scheme == "", "not-a-url").when(~scheme.isin("http", "https"), "scheme-unsupported").when(host == "", "not-a-url")
-    reason = F.when(code == "not-a-url", F.concat(redact(t), F.lit(" is not a URL; a source URL needs a scheme."))).when(code == "scheme-unsupported", F.concat(redact(t), F.lit(" uses a scheme that is not http or https.")))
-    ok = code.isNull()
-    return F.struct(
-        ok.alias("ok"),
-        F.when(ok, F.coalesce(F.concat(F.lit(VIDEO_CANONICAL), video), url)).alias("url"),
-        F.when(ok, F.when(video.isNotNull(), "youtube").otherwise("generic")).alias("rule"),
-        F.when(ok, video).otherwise(none).alias("key"),
-        code.alias("code"),
-        reason.alias("reason"),
-    )
+    said = F.when(code == "not-a-url", " is not a URL; a source URL needs a scheme.").when(code == "scheme-unsupported", " uses a scheme that is not http or https.")
+
+    def result(key: Column) -> Column:
+        ok = code.isNull()
+        return F.struct(
+            ok.alias("ok"),
+            F.when(ok, F.when(key.isNull(), url).otherwise(F.concat(F.lit(VIDEO_CANONICAL), key))).alias("url"),
+            F.when(ok, F.when(key.isNotNull(), "youtube").otherwise("generic")).alias("rule"),
+            F.when(ok, key).otherwise(none).alias("key"),
+            code.alias("code"),
+            F.when(~ok, F.concat(redact(p["text"]), said)).alias("reason"),
+        )
+
+    return let(video, result)
+
+
+def normalize_url(c: Column) -> Column:
+    """struct(ok, url, rule, key, code, reason) for plain inputs and for what is no http url at all.
+
+    Each part is bound once: the parts name one another, and expanded they would be too large to plan.
+    """
+    return let(let(let(trim(c), _parts), _pieces), _normalized)
 
 
 def source_id(normalized: Column) -> Column:

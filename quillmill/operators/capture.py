@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import NAME_ATTEMPTS, SLUG_LENGTH
-from ..functions.text import SPACE, local_timestamp, slug, stamp, trim, yaml_quoted
+from ..functions.text import SPACE, let, local_timestamp, slug, stamp, trim, yaml_quoted
 from ..functions.urls import normalize_url, source_id
 
 
 def identify(items: DataFrame) -> DataFrame:
     """Adds kind (text, source or refused), source_id and reason to items(item, …)."""
-    item = trim(F.col("item"))
-    url = F.when(~item.rlike(SPACE), normalize_url(item))
-    d = items.withColumn("_u", url)
-    kind = F.when(F.col("_u").isNull(), "text").when(F.col("_u.ok"), "source").when(F.col("_u.code") == "not-a-url", "text").otherwise("refused")
-    return d.withColumns({"kind": kind, "source_id": F.when(kind == "source", source_id(F.col("_u"))), "reason": F.when(kind == "refused", F.col("_u.reason"))}).drop("_u")
+    def known(u):
+        kind = F.when(u.isNull(), "text").when(u["ok"], "source").when(u["code"] == "not-a-url", "text").otherwise("refused")
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "source", source_id(u)).alias("source_id"), F.when(k == "refused", u["reason"]).alias("reason")))
+
+    url = let(trim(F.col("item")), lambda t: F.when(~t.rlike(SPACE), normalize_url(t)))
+    d = items.withColumn("_k", let(url, known))
+    return d.withColumns({c: F.col("_k").getField(c) for c in ("kind", "source_id", "reason")}).drop("_k")
 
 
 def plan_captures(items: DataFrame, held: DataFrame, taken: DataFrame) -> DataFrame:

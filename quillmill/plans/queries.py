@@ -354,19 +354,21 @@ def _relevant(spark, sf_dir):
     """
     d, b = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "benchmark").where("text is not null")
     words = lambda c: F.split(c, r"\s+")
-    gram = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    gram = lambda w, i, n: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])
     items = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), words(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(3)))
-    long = items.where("n > 0").select("query_id", "wanted", "n", gram("w", F.lit(2), F.col("n")).alias("g"))
-    anchors = F.broadcast(long) if long.count() <= BROADCAST_ANCHORS else long
-    w = d.select("doc_id", "source", "text", words(F.col("text")).alias("w"))
+    long = items.where("n > 0").select("query_id", "n", F.coalesce(*[F.when(F.col("n") == n, gram(F.col("w"), F.lit(1), n)) for n in (1, 2, 3)]).alias("gram"))
+    few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ANCHORS else x
     sizes = [r.n for r in long.select("n").distinct().collect()]
-    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), gram("w", i, F.lit(n)).alias("g")))
-    grams = [every(n) for n in sizes]
+    every = lambda w, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: gram(w, i, n))
     path = F.format_string("%s/%s.md", "source", F.col("doc_id").cast("string")).alias("path")
     hits = [spark.createDataFrame([], "query_id long, path string")]
     if sizes:
-        met = w.select("doc_id", "source", "text", F.explode(F.array_distinct(F.concat(*grams))).alias("x")).select("doc_id", "source", "text", "x.*").join(anchors, ["n", "g"])
-        hits.append(met.where(F.contains("text", F.col("wanted"))).select("query_id", path))
+        # only ids and hashes meet; texts are searched for the pairs that met
+        grams = T.let(words(F.col("text")), lambda w: F.array_distinct(F.concat(*[every(w, n) for n in sizes])))
+        met = spread(d.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(grams).alias("gram")).join(few(long.select("query_id", "gram")), "gram")
+        met = stored(met.select(F.col("doc_id").alias("met_id"), "query_id").distinct(), "met")
+        pairs = few(met.join(items.select("query_id", "wanted"), "query_id"))
+        hits.append(d.join(pairs, F.col("doc_id").eqNullSafe(F.col("met_id"))).where(F.contains("text", "wanted")).select("query_id", path))
     short = items.where("n <= 0").select("query_id", "wanted")
     # blocks of a bounded number of items, each one row that is broadcast
     blocks = short.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / SHORT_BLOCK))
