@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..constants import NAME_ATTEMPTS, SLUG_LENGTH
 from ..functions.text import SPACE, let, local_timestamp, slug, stamp, trim, yaml_quoted
 from ..functions.urls import normalize_url, source_id
+from .stored import stored
 
 
 def identify(items: DataFrame) -> DataFrame:
@@ -45,6 +46,8 @@ def plan_captures(items: DataFrame, held: DataFrame, taken: DataFrame) -> DataFr
     # an inbox file is named by its moment and its words, a source by its id
     inbox = F.concat(stamp(F.col("at")), F.lit("-"), slug(F.col("item"), SLUG_LENGTH))
     d = d.withColumns({"folder": F.when(F.col("kind") == "source", "sources").otherwise("inbox"), "base": F.when(F.col("kind") == "source", F.col("source_id")).otherwise(inbox)})
+    # identity and names are made once; what follows reads the columns it needs
+    d = stored(d, "captures")
     order = Window.partitionBy("folder", "base").orderBy("item_no")
     writes = d.where("action = 'write'").withColumn("turn", F.row_number().over(order))
     numbered = lambda k: F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string")))
