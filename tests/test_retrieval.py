@@ -177,3 +177,28 @@ def test_generated_corpus_and_cost(spark):
     word = p.first().text.split()[0]
     cost = evaluate.context_cost(search.search(p, asked(spark, word)), d.select("path", F.octet_length("text").alias("bytes"))).first()
     assert cost.results >= 1 and cost.whole_note_bytes >= cost.text_bytes
+
+
+def test_relevance_finds_every_item_that_a_text_holds(spark, tmp_path):
+    from quillmill.plans import queries
+
+    texts = ["one two three four five", "xone two threex", "", None, "two  three four", "a b one\ttwo three four fivesome", "one two three four five"]
+    items = ["two three four", "e two three f", "one", "ne two three four fi", "two three four five", "three  four", "wo th", "zebra", None, "one\ttwo three fo", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {(i, f"s/{d}.md") for i, x in enumerate(items) for d, t in enumerate(texts) if x is not None and t is not None and x in t}
+    got = [tuple(r) for r in queries.relevance(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_plans_of_urls_and_captures_stay_small(spark):
+    from quillmill.functions import urls as U
+
+    d = spark.createDataFrame([("https://a.example/x?b=2&a=1", 1)], "item string, item_no int").withColumn("at", F.current_timestamp())
+    size = lambda x: len(x._jdf.queryExecution().executedPlan().toString())
+    assert size(d.select(U.normalize_url(F.col("item")).alias("u")).select("u.*")) < 50_000
+    plan = capture.plan_captures(d, spark.createDataFrame([], "source_id string"), spark.createDataFrame([], "folder string, name string"))
+    assert size(plan) < 50_000
+    none = spark.createDataFrame([(None,)], "item string").select(U.normalize_url(F.col("item")).alias("u")).select("u.url", "u.code").first()
+    assert tuple(none) == (None, None)
