@@ -101,10 +101,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Forward and backward: after trimming, every node takes the least node that reaches it as its colour;
     what reaches a colour's own node within the colour is that node's component. Components go, and the rest
     is trimmed again. Every round settles a component of each colour at once. An edge from a node to itself
-    is a cycle.
+    is a cycle; a component of one node without such an edge goes too, but has no row.
     """
     edges = stored(_clean(edges), "edges")
-    done = [stored(edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")), "loops")]
+    loops = stored(edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")), "loops")
+    done = []
     left = trim(edges.where("src <> dst"))
     while not left.isEmpty():
         colour = _least_reaching(left)
@@ -115,7 +116,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done.append(found)
         gone = found.select("node")
         left = trim(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return _union(done, done[0]).groupBy("node").agg(F.min("component").alias("component"))
+    parts = _union(done, loops)
+    # a node between cycles that no lesser one reaches is alone in its component, and on no cycle
+    several = parts.where("node <> component").select("component").distinct()
+    return parts.join(several, "component", "left_semi").unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -157,6 +157,12 @@ def test_components_and_layers(spark, seed):
     assert {x for (x,) in rows(graphs.reach(start, e))} == reach[0] | {0}
 
 
+def test_nodes_between_cycles_have_no_component(spark):
+    # 1 and 2 lead from one cycle to another, and no lesser node reaches 1
+    between = spark.createDataFrame([(5, 6), (6, 5), (6, 1), (1, 2), (2, 8), (8, 7), (7, 8), (6, 9), (9, 9), (9, 8)], "src long, dst long")
+    assert dict(rows(graphs.strong_components(between))) == {5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+
+
 def test_deep_and_empty_graphs(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(21)], "node long")
