@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FILE_BUDGET
+from ..operators.stored import stored
 
 SCHEMA = "path string, name string, text string, bytes long, walk_no long"
 
@@ -75,6 +76,22 @@ def within_budget(files: DataFrame, budget: int) -> DataFrame:
     return first.withColumn("walk_no", F.row_number().over(Window.orderBy(F.split("path", "/"))))
 
 
+def in_walk_order(files: DataFrame) -> DataFrame:
+    """All rows of a table of paths with their number in walk order: dealt by ranges, sorted and numbered in
+    each task, and moved on by the rows of the tasks before."""
+    from pyspark.sql.window import Window
+
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by = F.split("path", "/")
+    at = stored(files.repartitionByRange(tasks, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "walk").withColumn("_task", F.shiftright("_at", 33))
+    counts = at.groupBy("_task").agg(F.count("*").alias("n"))
+    # one row a task
+    before = counts.select("_task", F.coalesce(F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return at.join(F.broadcast(before), "_task").withColumn("walk_no", number).drop("_task", "_before", "_at")
+
+
 def replace_file(path: str, text: str, exclusive: bool = False) -> None:
     """Writes a file in one step: by rename over an old one, or only if there is none."""
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".new-")

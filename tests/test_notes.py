@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import edit, spans
+from quillmill.plans import queries
 from quillmill.sources import frontmatter as M
 from quillmill.sources.markdown import scan_markdown, within_budget
 
@@ -143,3 +144,12 @@ def test_scan(spark, tmp_path):
     assert d.count() == 2 and exhausted
     w = within_budget(spark.createDataFrame([("b-c/y.md",), ("b/x.md",), ("b/a/z.md",)], "path string"), 2)
     assert [r.path for r in w.orderBy("walk_no").collect()] == ["b/a/z.md", "b/x.md"]
+
+
+def test_walk_order_numbers_every_path(spark, tmp_path):
+    n = 50_010
+    d = spark.range(n).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "IF(id % 2 = 0, 'b', 'b-c') AS source", "1 AS n_chars")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.path for r in queries.walk_order(spark, str(tmp_path)).orderBy("walk_no").collect()]
+    assert got == [f"{s}/{x}" for s, first in (("b", 0), ("b-c", 1)) for x in sorted(f"{i}.md" for i in range(first, n, 2))]
+    assert [r.walk_no for r in queries.walk_order(spark, str(tmp_path)).orderBy("walk_no").collect()] == list(range(1, n + 1))
