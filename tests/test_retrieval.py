@@ -202,3 +202,41 @@ def test_plans_of_urls_and_captures_stay_small(spark):
     assert size(plan) < 50_000
     none = spark.createDataFrame([(None,)], "item string").select(U.normalize_url(F.col("item")).alias("u")).select("u.url", "u.code").first()
     assert tuple(none) == (None, None)
+
+
+def test_best_shuffles_no_score_of_a_passage(spark, monkeypatch):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from quillmill.operators import scoring
+
+    n, limit = 2000, 3
+    # every passage shares words with every wording, and many passages are copies of one another
+    words = F.concat(F.lit("common "), F.repeat(F.lit("often "), (F.col("id") % 4).cast("int")), F.lit("w"), (F.col("id") * 7 % 25).cast("string"))
+    none = F.array().cast("array<string>")
+    p = spark.range(0, n, 1, 4).select(F.format_string("p/%d.md", n - F.col("id")).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), words.alias("text"), F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("note w"), (F.col("id") % 30).cast("string")).alias("title"), none.alias("trail"), none.alias("tags"), none.alias("aliases"), none.alias("about"), none.alias("folder"))
+    q = spark.createDataFrame([(i // 2, i % 2, f"common often w{i} w{i + 3} w{i} note") for i in range(20)] + [(99, 0, "zebra"), (99, 1, " ")], "query_id long, wording_no int, wording string")
+    index = search.build_index(p).stored()
+    sc = spark.sparkContext
+
+    def sent():
+        jvm = sc._jvm
+        none = lambda: jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(jvm.double, 0), none())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    key = lambda r: (r["query_id"], r["wording_no"], r["path"], round(r["score"], 7))
+    for weight in (search.METADATA_WEIGHT, 0.0):
+        want = {(*key(r), r.rank) for r in search.rank(search.scores(index, q, weight), limit).collect()}
+        before = sent()
+        got = {(*key(r), r.rank) for r in search.best(index, q, limit, weight).collect()}
+        assert got == want and len(want) == 20 * limit
+        assert sent() - before < n * 20 / 4
+    # many small blocks in one task keep the same
+    monkeypatch.setattr(scoring, "CELLS", 50)
+    found = search.best(index, q, limit, 0.0)
+    schema = to_arrow_schema(found.select("query_id", "wording_no", "score", *search.KEY).schema)
+    fields = {"body": 1.0, "meta": 0.0}
+    look = scoring.prepared(search.query_terms(q).toArrow(), index.term_counts().select("field", "term", "df").join(search.query_terms(q).select("term").distinct(), "term", "left_semi").select("field", "term", "df").toArrow(), {r.field: (r.n, r.average) for r in index.stats.collect()}, fields)
+    batches = index.passages.select(*search.KEY, *fields, *[f"{f}_length" for f in fields]).toArrow().to_batches(max_chunksize=300)
+    rows = [r for b in scoring.best_in_task(look, limit, search.DECIMALS, schema)(iter(batches)) for r in b.to_pylist()]
+    assert {key(r) for r in rows} == {x[:-1] for x in want} and len(rows) == len(want)
